@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ for _i, _c in enumerate(ALPHABET):
 def gram_sets(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers and gram codes of the distinct grams of every string over the alphabet, sorted by row, and sizes."""
     strings = strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings
-    lengths = np.asarray(pa.compute.binary_length(strings)).astype(np.int64)
+    lengths = np.asarray(pc.binary_length(strings)).astype(np.int64)
     text = "".join(strings.to_pylist()).encode()
     codes = _CODE[np.frombuffer(text, np.uint8)]
     rows = np.repeat(np.arange(len(lengths)), lengths)
