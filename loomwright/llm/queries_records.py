@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected_components
+from loomwright.llm.neighbours import nearest
 from loomwright.llm.queries import LLM
 from loomwright.llm.survivors import Choice, elect, truth_discovery
 from loomwright.llm.triejoin import similar_strings, title_classes
@@ -117,3 +118,31 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("class_size"))
     facts = sizes.join(links, "cid", "left").select("cid", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members.join(facts, "cid").select("id", F.col("cid").alias("class_id"), "class_size", "n_links")
+
+
+#: Dimension of paper_vector.emb, and what counts as most similar.
+DIM, TOP, LEAST = 96, 5, 0.85
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(table(spark, d, "paper_vector"), key="emb_row", emb="emb", dim=DIM, k=TOP, least=LEAST)
+
+
+@LLM.query(
+    "p6_found",
+    """
+WITH u AS (SELECT emb_row AS r, min(emb) AS e FROM paper_vector WHERE emb_row IS NOT NULL AND len(emb) = 96
+  AND NOT list_contains(list_transform(emb, lambda x: coalesce(isfinite(x), false)), false) AND list_sum(list_transform(emb, lambda x: abs(x))) > 0 GROUP BY emb_row),
+s AS (SELECT a.r AS r, b.r AS o, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 9) AS c FROM u a JOIN u b ON a.r <> b.r),
+t AS (SELECT r, o, c, row_number() OVER (PARTITION BY r ORDER BY c DESC, o) AS k FROM s)
+SELECT DISTINCT least(r, o) AS row_a, greatest(r, o) AS row_b FROM t WHERE k <= 5 AND c >= 0.85""",
+)
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which one is among the other's five most similar, with a cosine of at least 0.85."""
+    return _nearest(spark, d).select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
+
+
+@LLM.query("p6_neighbours")
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's most similar others with their cosine and rank."""
+    return _nearest(spark, d).select("row", "other", F.round("cosine", 6).alias("cosine"), "rank")
