@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loomwright.registry import CORE, Registry
 
-MODULES = ("problems",)
+MODULES = ("problems", "panels", "linking", "scoring", "similarity", "ingestion")
 
 
 def load_core() -> Registry:
