@@ -57,7 +57,7 @@ def work_tables(records: DataFrame, fields: list[int], first: int = 2016, last:
         ids(F.col("referenced_works")).alias("refs"), F.array_distinct(ids(F.col("authorships.author.id"))).alias("author_ids"), tail_id("primary_location.source.id").alias("source_id"),
         F.col("counts_by_year.year").cast("array<smallint>").alias("cby_year"), F.col("counts_by_year.cited_by_count").alias("cby_count"), "cited_by_count", "is_retracted", "is_paratext",
         "doi", "title", "publication_date", "updated_date", arxiv_id(F.col("doi"), F.col("locations.landing_page_url")).alias("arxiv_id"),
-        F.array_distinct(ids(F.flatten("authorships.institutions.id"))).alias("institution_ids"), inverted_index_text(F.col("abstract_inverted_index")).alias("abstract"),
+        F.array_distinct(ids(F.flatten("authorships.institutions").getField("id"))).alias("institution_ids"), inverted_index_text(F.col("abstract_inverted_index")).alias("abstract"),
     ).withColumn("n_refs", F.coalesce(F.size("refs"), F.lit(0)))
     narrow = "id year type pt_topic pt_subfield pt_field topic_ids topic_scores n_refs refs author_ids source_id cby_year cby_count cited_by_count is_retracted is_paratext".split()
     return base.select(*narrow), base.filter(F.col("pt_field").isin(fields) & F.col("year").between(first, last))

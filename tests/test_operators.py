@@ -159,7 +159,7 @@ def test_streams_resume(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     df = spark.createDataFrame([(1, [2019, 2020], [2, 3]), (2, None, None)], "id bigint, cby_year array<smallint>, cby_count array<int>")
     df.write.parquet(src)
-    stream = I and S.file_stream(spark, src, "id bigint, cby_year array<smallint>, cby_count array<int>")
+    stream = S.file_stream(spark, src, "id bigint, cby_year array<smallint>, cby_count array<int>")
     S.run_once(stream.select("id", F.inline(F.arrays_zip("cby_year", "cby_count"))), out, ck)
     assert spark.read.parquet(out).count() == 2
     df.write.mode("append").parquet(src)
