@@ -49,16 +49,16 @@ def gram_sets(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(GRAM):
         grams = grams * len(ALPHABET) + codes[k : len(codes) - GRAM + 1 + k]
     inside = rows[: len(grams)] == rows[GRAM - 1 :]
-    both = np.unique(rows[: len(grams)][inside] * UNIVERSE + grams[inside])
-    r, g = both // UNIVERSE, both % UNIVERSE
+    both = np.sort(rows[: len(grams)][inside] * UNIVERSE + grams[inside])
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    r, g = np.divmod(both, UNIVERSE)
     return r, g, np.bincount(r, minlength=len(lengths))
 
 
 def _ordered(strings: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, gram ranks, positions in the global order and sizes."""
     r, g, sizes = gram_sets(strings)
-    both = np.sort(r * UNIVERSE + rank[g])
-    r, k = both // UNIVERSE, both % UNIVERSE
+    r, k = np.divmod(np.sort(r * UNIVERSE + rank[g]), UNIVERSE)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return r, k, np.arange(len(r)) - starts[r], sizes
 
@@ -129,25 +129,40 @@ def _insert_kernel(rank_b, blocks_b):
     return run
 
 
-def _meet(size: np.ndarray, reach: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Pairs compared in one go, so that the words stay in the processor's cache.
+GO = 1 << 16
+
+
+def _meet(x: np.ndarray, y: np.ndarray, size: np.ndarray, reach: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of two leaves' sets that their remaining lengths and sketches let through. ``reach``: the greatest partner size."""
+    none = np.empty(0, np.int64)
+    alone = x is y
     x = x[reach[x] >= size[y].min()]
-    y = y[reach[y] >= size[x].min()] if len(x) else y[:0]
+    if not len(x):
+        return none, none
+    y = x if alone else y[reach[y] >= size[x].min()]
+    if not len(y):
+        return none, none
+    # J >= 3/5 <=> 4 * difference <= size + size; the leaves' greatest sizes bound it for all their pairs
+    most = np.uint8(min(255, (int(size[x].max()) + int(size[y].max())) // 4))
+    bx, by = np.ascontiguousarray(bits[x].T), np.ascontiguousarray(bits[y].T)
+    step = max(1, GO // len(y))
     found_x, found_y = [], []
-    step = max(1, 400_000 // max(1, len(y)))
     for k in range(0, len(x), step):
-        i = x[k : k + step]
-        both = size[i][:, None] + size[y][None, :]
-        far = np.bitwise_count(bits[i, 0][:, None] ^ bits[y, 0][None, :]).astype(np.int32)
-        far += np.bitwise_count(bits[i, 1][:, None] ^ bits[y, 1][None, :])
-        # J >= 3/5 <=> 4 * difference <= size + size
-        p, q = np.nonzero((4 * far <= both) & (reach[i][:, None] >= size[y][None, :]) & (size[i][:, None] <= reach[y][None, :]))
-        if len(p):
-            far = far[p, q] + np.bitwise_count(bits[i[p], 2] ^ bits[y[q], 2]) + np.bitwise_count(bits[i[p], 3] ^ bits[y[q], 3])
-            ok = 4 * far.astype(np.int64) <= both[p, q]
-            found_x.append(i[p[ok]])
-            found_y.append(y[q[ok]])
-    none = np.empty(0, np.int64)
+        skip = k if alone else 0  # within one leaf every pair is met once
+        far = np.bitwise_count(bx[0, k : k + step, None] ^ by[0, skip:])
+        for w in (1, 2):
+            far += np.bitwise_count(bx[w, k : k + step, None] ^ by[w, skip:])
+        near = np.flatnonzero(far.ravel() <= most)
+        if len(near):
+            p, q = np.divmod(near, len(y) - skip)
+            p, q = p + k, q + skip
+            all_ = far.ravel()[near].astype(np.int64) + np.bitwise_count(bx[3, p] ^ by[3, q])
+            p, q = x[p], y[q]
+            ok = (4 * all_ <= size[p] + size[q]) & (reach[p] >= size[q]) & (size[p] <= reach[q])
+            if ok.any():
+                found_x.append(p[ok])
+                found_y.append(q[ok])
     return (np.concatenate(found_x), np.concatenate(found_y)) if found_x else (none, none)
 
 
@@ -156,17 +171,20 @@ def _search(cid: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray
     # partner size b needs 8 (size - pos) >= 3 (size + b)
     reach = (5 * size - 8 * pos) // 3
     order = np.argsort(size, kind="stable")
-    nodes = [n for n in np.array_split(order, min(24, max(1, len(order) // 512))) if len(n)]
+    # sets that can't even meet the shortest partner leave the subtree at once
+    order = order[reach[order] >= size.min()]
+    nodes = [n for n in np.array_split(order, min(24, max(1, len(order) // 256))) if len(n)]
+    bounds = [(size[n[0]], size[n[-1]], reach[n].max()) for n in nodes]
     xs, ys = [], []
     for a, u in enumerate(nodes):
-        for v in nodes[a:]:
-            # sizes of v are the greater: the least of v must not exceed what the least remaining length of u allows
-            if NUMERATOR * size[v[0]] > DENOMINATOR * size[u[-1]] or reach[u].max() < size[v[0]] or reach[v].max() < size[u[0]]:
+        for v, (least, _, far) in zip(nodes[a:], bounds[a:]):
+            # sizes of v are the greater: the least of v must not exceed what the remaining lengths of u allow, and inversely
+            if NUMERATOR * least > DENOMINATOR * bounds[a][1] or bounds[a][2] < least or far < bounds[a][0]:
                 continue
             sides = [(u, v)] if same else [(u[left[u]], v[~left[v]])] + ([(v[left[v]], u[~left[u]])] if u is not v else [])
             for x, y in sides:
                 if len(x) and len(y):
-                    x, y = _meet(size, reach, bits, x, y)
+                    x, y = _meet(x, y, size, reach, bits)
                     xs.append(x)
                     ys.append(y)
     if not xs:
