@@ -23,7 +23,8 @@ MAX_LABELLED = 20_000
 BITS, GRAMS = 18, (3, 4, 5, 6)
 #: A sentence without a break is cut into stretches of about this many characters.
 STRETCH = 160
-#: A sentence or document offends from this score on: raters' errors keep even plain cases well below 1.
+#: A sentence offends from this score on (raters' errors keep even plain cases well below 1), and a document with such a sentence.
+#: The noisy-or alone would let hundreds of clean sentences of a long text add up to an offence.
 THRESHOLD = 0.25
 
 #: Letters that look like Latin ones (fixed values).
@@ -132,7 +133,7 @@ class Model:
     n_labelled: int
 
 
-def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 60, rate: float = 2.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 40, rate: float = 2.0, seed: int = 7) -> Model:
     """Train sentence weights from soft document labels by mini-batches of the noisy-or likelihood (AdaGrad).
 
     Every sixth epoch goes over all documents, the others over those that are not yet settled. Raters err: from a third of the
@@ -187,14 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 
 
 def score(docs: DataFrame, model: Model, *, keep: list[str] = ("doc_id",), located: bool = False) -> DataFrame:
-    """``keep`` with ``score`` in [0, 1] and, if ``located``, ``offending``: an array of (sentence, score, text) from
+    """``keep`` with ``score`` in [0, 1], ``worst``, the greatest sentence score, and, if ``located``, ``offending``: an array of (sentence, score, text) from
     ``THRESHOLD`` on. One row per input row, no shuffle.
 
-    Defined cases: null, empty and contentless texts score 0; texts of any length are scored whole; repeated rows stay; an
+    Defined cases: null, empty and contentless texts score 0 and have a worst sentence of 0; texts of any length are scored whole; repeated rows stay; an
     empty table gives no row.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2^18 floats
-    names = [*keep, "score", *(["offending"] if located else [])]
+    names = [*keep, "score", "worst", *(["offending"] if located else [])]
     kind = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +210,15 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] = ("doc_id",), locat
                 for k in range(0, len(flat), 5_000):
                     zs.append(logits(weights, bias, *features([fold(s) for s in flat[k : k + 5_000]])))
                 z = np.concatenate(zs)
-                cols = [*batch.columns[:-1], pa.array(noisy_or(z, bags))]
+                p, ends = _probability(z), np.concatenate([[0], np.cumsum(bags)])
+                worst = np.zeros(len(bags))
+                np.maximum.at(worst, np.repeat(np.arange(len(bags)), bags), p)
+                cols = [*batch.columns[:-1], pa.array(noisy_or(z, bags)), pa.array(worst)]
                 if located:
-                    p, ends = _probability(z), np.concatenate([[0], np.cumsum(bags)])
                     hits = [[{"sentence": i - s, "score": float(p[i]), "text": flat[i]} for i in range(s, e) if p[i] >= THRESHOLD] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
                     cols.append(pa.array(hits, kind))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     types = dict(docs.dtypes)
-    extra = ["score double", *(["offending array<struct<sentence:int,score:double,text:string>>"] if located else [])]
+    extra = ["score double", "worst double", *(["offending array<struct<sentence:int,score:double,text:string>>"] if located else [])]
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], *extra]))

@@ -52,17 +52,17 @@ def _scored(spark: SparkSession, d: str, located: bool = False) -> DataFrame:
 @LLM.query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with abusive, hateful or sexually explicit language."""
-    return _scored(spark, d).filter(F.col("score") >= THRESHOLD).select("doc_id")
+    return _scored(spark, d).filter(F.col("worst") >= THRESHOLD).select("doc_id")
 
 
 @LLM.query("p10_scores")
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every document's score and its offending sentences."""
-    return _scored(spark, d, located=True).select("doc_id", F.round("score", 6).alias("score"), "offending")
+    return _scored(spark, d, located=True).select("doc_id", F.round("score", 6).alias("score"), F.round("worst", 6).alias("worst"), "offending")
 
 
 @LLM.query("p10_rates")
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rate of offending documents per source."""
-    hit = F.col("score") >= THRESHOLD
+    hit = F.col("worst") >= THRESHOLD
     return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when(hit, 1)).alias("n_offending"), F.round(F.avg(hit.cast("int")), 6).alias("rate"))
