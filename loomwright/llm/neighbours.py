@@ -23,7 +23,7 @@ SAMPLE = 12_000
 #: Wanted vectors of the collection a part, and the greatest number of parts.
 PART_ROWS, MAX_PARTS = 2_000, 1_024
 #: Parts a query is routed to: the most probable ones, at least.
-PROBES = 6
+PROBES = 8
 #: Rows of one side that a task compares at once.
 BLOCK = 4_096
 #: Neighbours in the sample's graph.
