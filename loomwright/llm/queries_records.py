@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected_components
-from loomwright.llm.neighbours import nearest
+from loomwright.llm.neighbours import MAX_PARTS, PROBES, nearest
 from loomwright.llm.queries import LLM
 from loomwright.llm.survivors import Choice, elect, truth_discovery
 from loomwright.llm.triejoin import similar_strings, title_classes
@@ -120,12 +120,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return members.join(facts, "cid").select("id", F.col("cid").alias("class_id"), "class_size", "n_links")
 
 
-#: Dimension of paper_vector.emb, and what counts as most similar.
+#: Dimension of paper_vector.emb, what counts as most similar, and the least cosine of p6_found.
 DIM, TOP, LEAST = 96, 5, 0.85
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(table(spark, d, "paper_vector"), key="emb_row", emb="emb", dim=DIM, k=TOP, least=LEAST)
+def _nearest(spark: SparkSession, d: str, least: float, probes: int) -> DataFrame:
+    return nearest(table(spark, d, "paper_vector"), key="emb_row", emb="emb", dim=DIM, k=TOP, least=least, probes=probes)
 
 
 @LLM.query(
@@ -139,10 +139,13 @@ SELECT DISTINCT least(r, o) AS row_a, greatest(r, o) AS row_b FROM t WHERE k <=
 )
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of which one is among the other's five most similar, with a cosine of at least 0.85."""
-    return _nearest(spark, d).select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
+    return _nearest(spark, d, LEAST, PROBES).select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
 
 
 @LLM.query("p6_neighbours")
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector's most similar others with their cosine and rank."""
-    return _nearest(spark, d).select("row", "other", F.round("cosine", 6).alias("cosine"), "rank")
+    """Every vector's most similar others, however low their cosine, with that cosine and rank.
+
+    Low neighbours lie in any part, so every part is probed and nothing is missed.
+    """
+    return _nearest(spark, d, -1.0, MAX_PARTS).select("row", "other", F.round("cosine", 6).alias("cosine"), "rank")

@@ -46,3 +46,18 @@ def test_copies_unusable_and_repeated(spark):
     usable = {k: v for k, v in rows if k is not None and k <= 20}
     assert run(spark, rows, k=5, least=0.85) == brute(usable, 5, 0.85)
     assert run(spark, [], k=5, least=0.85) == set()
+
+
+def test_query_gives_every_vector_its_neighbours_below_the_floor_of_p6_found(spark, data):
+    from loomwright.llm.queries_records import TOP, p6_neighbours
+    from loomwright.sources.tables import table
+
+    vectors = {r["row"]: r["vec"] for r in N.usable(table(spark, data, "paper_vector"), "emb_row", "emb", 96).collect()}
+    got = p6_neighbours(spark, data).collect()
+    assert {(r["row"], r["other"]) for r in got} == brute(vectors, TOP, -1.0)
+    assert len(got) == len(vectors) * min(TOP, len(vectors) - 1) and min(r["cosine"] for r in got) < 0.85
+
+
+def test_every_part_probed_misses_no_low_neighbour(spark):
+    vectors = clustered(600, 6)
+    assert run(spark, vectors.items(), k=5, least=-1.0, part_rows=60, sample=400, probes=N.MAX_PARTS) == brute(vectors, 5, -1.0)
