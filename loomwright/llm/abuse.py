@@ -32,7 +32,18 @@ LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝαβεηικνο
 #: Signs read as letters inside a word (fixed values).
 SIGNS = str.maketrans("0134578@$!|€£", "oieastbasiiel")
 
-_TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d{1,6};")
+#: Names of elements that texts are marked up with; any name with a prefix (jats:p, mml:mi) is one too.
+ELEMENTS = (
+    "a abbr abstract article aside b bdi bdo blockquote body bold br caption center cite code col dd del details dfn disp-formula disp-quote div dl dt em ext-link fig figure figcaption fn "
+    "font footer h1 h2 h3 h4 h5 h6 head header hr html i img inf inline-formula ins italic kbd label li link list list-item main mark math meta mfrac mi mn mo monospace mover mrow ms "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder nav nobr ol p pre q ref roman s samp sc script sec section small span strike strong style sub summary sup svg table tbody td "
+    "tex-math tfoot th thead title tr tt u ul underline var xref"
+).split()
+# a comparison sign opens no tag: what isn't an element with attributes stays in the text and is scored
+_TAG = re.compile(
+    r"</?(?:[a-z][\w.-]*:[a-z][\w.-]*|" + "|".join(map(re.escape, ELEMENTS)) + r""")(?:\s+[a-z_][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*\s*/?>|&[a-z]{2,8};|&#\d{1,6};""",
+    re.IGNORECASE,
+)
 _END = re.compile(r"(?:(?<=[^\s.][^\s.][.!?…])|(?<=[\d)][.!?…]))[\"'’”»)]*\s+")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤︀-️﻿]")
 _BROKEN_LINE = re.compile(r"(?<=[a-z])-\s*\n\s*(?=[a-z])")

@@ -70,3 +70,10 @@ def test_training_without_labels(spark):
     labels = spark.createDataFrame([(1, None, "r"), (None, 1, "r"), (2, 1, "r"), (1, 7, "r")], "doc_id bigint, toxic int, rater string")
     m = A.train(docs, labels)
     assert m.n_labelled == 0 and max(r["score"] for r in A.score(docs, m).collect()) < 0.01
+
+
+def test_only_tags_are_taken_out():
+    for s in (r"Let $1 < p \le 5$ hold. Only a stupid moron would write this. Take $\lambda > 0$.", "It is < 3. You are an idiot. It is > 2.", "<you stupid moron>", "<idiot>", "<p you are an idiot>"):
+        assert " ".join(A.sentences(s)) == s
+    for s in ('<jats:p>', '</mml:mi>', '<a href="http://x.y/z" class=\'k\'>', "<br/>", "<TD colspan=2>", "&lt;", "&#39;"):
+        assert A.sentences(f"One {s}two.") == ["One  two."], s
