@@ -73,6 +73,21 @@ def coupling(refs: DataFrame, *, paper: str, ref: str, year: str, hub: int = 500
     return counts.join(na, "a").join(nb, "b").select("a", "b", "shared", j.alias("jaccard")).filter(F.col("jaccard") >= jaccard)
 
 
+def shared_references(pairs: DataFrame, refs: DataFrame, *, a: str, b: str, paper: str, ref: str) -> DataFrame:
+    """``pairs`` with ``shared`` and ``jaccard`` of the ends' whole reference sets, hubs and single shared references included.
+
+    A pair whose ends both have no reference has a null Jaccard. The pairs lead the joins, so a hub costs no more than its papers' pairs.
+    """
+    own = refs.select(F.col(paper).alias("_p"), F.col(ref).alias("_r")).dropna().distinct()
+    sizes = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    held = pairs.select(a, b).distinct().join(own.select(F.col("_p").alias(a), "_r"), a)
+    both = held.join(own.select(F.col("_p").alias(b), "_r"), [b, "_r"]).groupBy(a, b).agg(F.count(F.lit(1)).alias("shared"))
+    na, nb = (sizes.select(F.col("_p").alias(c), F.col("_n").alias(f"_n{i}")) for i, c in enumerate((a, b)))
+    wide = pairs.join(both, [a, b], "left").join(na, a, "left").join(nb, b, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    union = F.coalesce("_n0", F.lit(0)) + F.coalesce("_n1", F.lit(0)) - F.col("shared")
+    return wide.withColumn("jaccard", F.try_divide("shared", union)).select(*pairs.columns, "shared", "jaccard")
+
+
 def export_lists(edges: DataFrame) -> DataFrame:
     """``id, refs, cites``: sorted neighbour lists of every node, for graph files."""
     out = edges.select(F.col("citing_id").alias("id"), F.col("cited_id").alias("r"), F.lit(None).cast("bigint").alias("c"))

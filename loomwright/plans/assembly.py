@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomwright.functions.columns import full_date
+from loomwright.functions.columns import cosine, full_date
 from loomwright.operators import graph as G
 from loomwright.operators import models as L
 from loomwright.operators import panel as P
+from loomwright.operators import resolve as R
 from loomwright.operators import rivals as V
 from loomwright.operators import vector as X
-from loomwright.plans.base import EDGES_SQL, PANEL_SQL, PAPERS_SQL, edges, paper_year, papers
+from loomwright.plans.base import DIM, EDGES_SQL, PANEL_SQL, PAPERS_SQL, edges, paper_year, papers, vectors
 from loomwright.plans.linking import COUPLING_SQL
-from loomwright.plans.similarity import PAIRS_SQL, STRONG, _dated, _pairs
+from loomwright.plans.similarity import ALL_PAIRS_SQL, PAIRS_SQL, STRONG, _dated, _pairs
 from loomwright.registry import query
+from loomwright.session import materialise
 from loomwright.sources.tables import table
 
 r6 = lambda c: F.round(c, 6)
@@ -46,6 +48,46 @@ def q_pair_table(spark: SparkSession, d: str) -> DataFrame:
     return G.mutual_flags(wide, edges(spark, d), "a", "b")
 
 
+@query(
+    "pair_table_all",
+    ALL_PAIRS_SQL
+    + f""", {EDGES_SQL}, {COUPLING_SQL}, u AS (SELECT least(qi, mi) AS a, greatest(qi, mi) AS b FROM pr WHERE sim >= {STRONG} AND ym - yq BETWEEN -1 AND 1 AND qi <> mi UNION SELECT a, b FROM cp),
+rs AS (SELECT DISTINCT paper_id AS p, ref AS r FROM paper_ref WHERE paper_id IS NOT NULL AND ref IS NOT NULL), rn AS (SELECT p, count(*) AS n FROM rs GROUP BY p),
+sh AS (SELECT u.a, u.b, count(*) AS shared FROM u JOIN rs x ON x.p = u.a JOIN rs y ON y.p = u.b AND y.r = x.r GROUP BY 1, 2),
+sm AS (SELECT u.a, u.b, max(round(list_cosine_similarity(x.e::DOUBLE[], y.e::DOUBLE[]), 9)) AS sim FROM u JOIN vec x ON x.id = u.a JOIN vec y ON y.id = u.b GROUP BY 1, 2)
+SELECT u.a, u.b, coalesce(sim >= {STRONG} AND abs(y.year - x.year) <= 1, false) AS by_vector, cp.a IS NOT NULL AS by_coupling, round(sim, 6) AS sim, coalesce(sh.shared, 0) AS shared,
+  round(coalesce(sh.shared, 0) / nullif(coalesce(m.n, 0) + coalesce(l.n, 0) - coalesce(sh.shared, 0), 0), 6) AS jaccard, coalesce(x.topic = y.topic, false) AS same_topic, y.year - x.year AS dyear, CAST(dy.day - dx.day AS INT) AS ddays,
+  e.citing_id IS NOT NULL AS a_cites_b, f.citing_id IS NOT NULL AS b_cites_a, e.citing_id IS NULL AND f.citing_id IS NULL AS is_strict
+FROM u LEFT JOIN cp ON cp.a = u.a AND cp.b = u.b LEFT JOIN sh ON sh.a = u.a AND sh.b = u.b LEFT JOIN sm ON sm.a = u.a AND sm.b = u.b LEFT JOIN rn m ON m.p = u.a LEFT JOIN rn l ON l.p = u.b LEFT JOIN papers x ON x.id = u.a LEFT JOIN papers y ON y.id = u.b
+LEFT JOIN dt dx ON dx.id = u.a LEFT JOIN dt dy ON dy.id = u.b LEFT JOIN edges e ON e.citing_id = u.a AND e.cited_id = u.b LEFT JOIN edges f ON f.citing_id = u.b AND f.cited_id = u.a""",
+)
+def q_pair_table_all(spark: SparkSession, d: str) -> DataFrame:
+    """Rivals found by the vectors of all papers or by shared references, with everything that relates them worked out for every pair.
+
+    ``sim`` is the greatest cosine of the two papers' vectors, null where one has none; ``shared`` and ``jaccard`` are of the whole
+    reference sets; ``ddays`` is b's date less a's, with dates known to the year only taken as 1 January.
+    """
+    v = _dated(spark, d)
+    near = X.block_pairs(v, v, key="r", emb="e", dim=DIM, least=STRONG, year="year", back=1, ahead=1)
+    s2 = V.with_ends(near, v, "r", "q", "m", ["id"]).filter("id_q <> id_m").select(F.least("id_q", "id_m").alias("a"), F.greatest("id_q", "id_m").alias("b")).distinct()
+    s3 = G.coupling(table(spark, d, "paper_ref"), paper="paper_id", ref="ref", year="y").select("a", "b", F.lit(True).alias("c"))
+    u = materialise(s2.join(s3, ["a", "b"], "full"))
+    x, y = (vectors(spark, d).filter("id is not null").select(F.col("id").alias(k), F.col("e").alias(f"_{k}")) for k in ("a", "b"))
+    sims = u.select("a", "b").join(x, "a").join(y, "b").groupBy("a", "b").agg(F.max(F.round(cosine("_a", "_b"), X.DECIMALS)).alias("sim"))
+    p = papers(spark, d)
+    dates = R.date_precision(p.select("id", "publication_date", "arxiv_id", "year"), "id").select("id", F.col("first_date").alias("date"))
+    p = p.select("id", "topic", "year").join(dates, "id", "left")
+    facts = G.shared_references(u.join(sims, ["a", "b"], "left"), table(spark, d, "paper_ref"), a="a", b="b", paper="paper_id", ref="ref")
+    for k in ("a", "b"):
+        facts = facts.join(p.select(F.col("id").alias(k), F.col("topic").alias(f"t{k}"), F.col("year").alias(f"y{k}"), F.col("date").alias(f"d{k}")), k, "left")
+    no, dyear = F.lit(False), F.col("yb") - F.col("ya")
+    wide = facts.select(
+        "a", "b", F.coalesce((F.col("sim") >= STRONG) & (F.abs(dyear) <= 1), no).alias("by_vector"), F.coalesce("c", no).alias("by_coupling"), r6("sim").alias("sim"), "shared", r6("jaccard").alias("jaccard"),
+        F.coalesce(F.col("ta") == F.col("tb"), no).alias("same_topic"), dyear.alias("dyear"), F.datediff("db", "da").alias("ddays"),
+    )
+    return G.mutual_flags(wide, edges(spark, d), "a", "b").withColumn("is_strict", ~F.col("a_cites_b") & ~F.col("b_cites_a"))
+
+
 @query(
     "rival_strength",
     PAIRS_SQL

@@ -30,6 +30,8 @@ dt AS (SELECT dv.id, dv.year, coalesce(db.d, make_date(dv.year, 1, 1)) AS day, C
 BASE_SQL = f"WITH {PAPERS_SQL}, {VECTORS_SQL}, {DATES_SQL}, vy AS (SELECT v.r, v.e, v.id, dt.year, dt.day, dt.prec, p.topic, p.author_ids FROM vec v JOIN dt ON dt.id = v.id JOIN papers p ON p.id = v.id)"
 PAIRS_SQL = BASE_SQL + f""", pr AS (SELECT a.r AS q, b.r AS m, a.id AS qi, b.id AS mi, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 9) AS sim, a.year AS yq, b.year AS ym, a.day AS dq, b.day AS dm, a.prec AS pq, b.prec AS pm,
   a.topic AS tq, b.topic AS tm, list_has_any(list_filter(coalesce(a.author_ids, []), lambda x: x IS NOT NULL), list_filter(coalesce(b.author_ids, []), lambda x: x IS NOT NULL)) AS same_team FROM vy a JOIN vy b ON a.r <> b.r WHERE a.r % {ASK} = 0)"""
+#: Every vector against every other, not only those asked for.
+ALL_PAIRS_SQL = PAIRS_SQL.replace(f" WHERE a.r % {ASK} = 0", "")
 FLAGS_SQL = f", {EDGES_SQL}, st AS (SELECT pr.*, x.citing_id IS NOT NULL AS qm, y.citing_id IS NOT NULL AS mq FROM pr LEFT JOIN edges x ON x.citing_id = qi AND x.cited_id = mi LEFT JOIN edges y ON y.citing_id = mi AND y.cited_id = qi WHERE sim >= {STRONG} AND ym - yq BETWEEN -2 AND 2)"
 
 
