@@ -96,6 +96,81 @@ def threshold_counts(pairs: DataFrame, thresholds: list[float], sides: dict[str,
     return spread.groupBy("q", "tau").agg(*[F.sum(n).alias(n) for n in sides])
 
 
+def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 2 * BLOCK, step: int = 20_000) -> DataFrame:
+    """``same, n, values``: exact quantiles (interpolated) of the cosines of all ordered pairs of rows, apart for pairs of equal and of other ``label``.
+
+    A null label equals none. Cosines are whole numbers of 1e-9. A first pass counts them in bins of ``step`` of these, a second
+    one counts the single values of the bins that hold a wanted rank; both merge block counts, so nothing is sampled or sorted.
+    The driver sees a count per bin, and ``step`` counts for each wanted rank. Work grows with the square of the rows.
+    """
+    spark, scale = df.sparkSession, 10**DECIMALS
+    rows = materialise(df.select(F.col(key).alias("key"), F.col(emb).cast("array<float>").alias("vec"), F.col(label).cast("double").alias("label")))
+    n = max(1, -(-rows.count() // block))
+    n_bins = 2 * scale // step + 1
+    # each row meets every block in one cell; a cosine is the same both ways round, so unordered pairs are counted
+    own = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = own.select(F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "vec", "label")
+    width = max(1, min(n * (n + 1) // 2, 4 * partitions(spark)))
+    cells = cells.repartition(width, "lo", "hi").groupBy("lo", "hi")
+
+    def count(slots: np.ndarray | None, size: int):
+        def run(t: pa.Table) -> pa.Table:
+            acc = np.zeros(size, np.int64)
+            x = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            what = t["label"].to_numpy()
+            first = t["own"].to_numpy() == t["lo"].to_numpy()
+            within = t["lo"][0].as_py() == t["hi"][0].as_py()
+            qi, mi = np.flatnonzero(first), np.arange(len(x)) if within else np.flatnonzero(~first)
+            for s in range(0, len(qi), 256):
+                a = qi[s : s + 256]
+                b = mi[s:] if within else mi
+                unit = np.rint(np.round(x[a] @ x[b].T, DECIMALS) * scale).astype(np.int64) + scale
+                bins = unit // step + n_bins * (what[a][:, None] == what[b][None, :])
+                if within:
+                    keep = a[:, None] < b[None, :]
+                    unit, bins = unit[keep], bins[keep]
+                if slots is None:
+                    acc += np.bincount(bins.ravel(), minlength=size)
+                else:
+                    slot = slots[bins]
+                    hit = slot >= 0
+                    at, c = np.unique(slot[hit] * step + unit[hit] % step, return_counts=True)
+                    acc[at] += c
+            at = np.flatnonzero(acc)
+            return pa.table({"at": pa.array(at, pa.int64()), "c": pa.array(acc[at], pa.int64())})
+
+        found = cells.applyInArrow(run, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+        full = np.zeros(size, np.int64)
+        full[found["at"].to_numpy()] = found["c"].to_numpy()
+        return full
+
+    coarse = count(None, 2 * n_bins).reshape(2, n_bins)
+    wanted = {}  # per class the ranks of either side of each quantile among the unordered pairs
+    for k in range(2):
+        total = 2 * int(coarse[k].sum())
+        if total:
+            at = [q * (total - 1) for q in quantiles]
+            wanted[k] = (total, at, [(int(np.floor(p)) // 2, int(np.ceil(p)) // 2) for p in at])
+    ends = np.cumsum(coarse, axis=1)
+    bin_of = lambda k, rank: int(np.searchsorted(ends[k], rank, side="right"))
+    picked = sorted({k * n_bins + bin_of(k, r) for k, (_, _, ranks) in wanted.items() for pair in ranks for r in pair})
+    slots = np.full(2 * n_bins, -1, np.int64)
+    slots[picked] = np.arange(len(picked))
+    fine = np.cumsum(count(slots, len(picked) * step).reshape(-1, step), axis=1) if picked else None
+
+    def value(k: int, rank: int) -> float:
+        b = bin_of(k, rank)
+        inside = rank - (int(ends[k][b - 1]) if b else 0)
+        return (b * step + int(np.searchsorted(fine[slots[k * n_bins + b]], inside, side="right")) - scale) / scale
+
+    out = []
+    for k, (total, at, ranks) in wanted.items():
+        low_high = [(value(k, lo), value(k, hi)) for lo, hi in ranks]
+        out.append((bool(k), total, [lo + (p - np.floor(p)) * (hi - lo) for p, (lo, hi) in zip(at, low_high)]))
+    return spark.createDataFrame([(s, t, [float(v) for v in vs]) for s, t, vs in out], "same boolean, n bigint, values array<double>")
+
+
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, *, key: str, emb: str, a: str, b: str) -> DataFrame:
     """``pairs`` with ``sim``, the cosine of their ends; null where an end has no vector."""
     x, y = (vectors.select(F.col(key).alias(c), F.col(emb).alias(f"_{c}")) for c in (a, b))

@@ -148,6 +148,13 @@ def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(same).agg(F.count(F.lit(1)).alias("n"), *[r6(F.percentile("sim", F.lit(q))).alias(f"p{str(q)[2:]}") for q in QS])
 
 
+@query("similarity_percentiles_all", ALL_PAIRS_SQL + " SELECT coalesce(tq = tm, false) AS same_topic, count(*) AS n, " + ", ".join(f"round(quantile_cont(sim, {q}), 6) AS p{str(q)[2:]}" for q in QS) + " FROM pr GROUP BY 1")
+def q_percentiles_all(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of the similarities of all vectors with all others, within and across topics."""
+    found = X.pair_percentiles(_dated(spark, d), emb="e", dim=DIM, key="r", label="topic", quantiles=QS)
+    return found.select(F.col("same").alias("same_topic"), "n", *[r6(F.col("values")[i]).alias(f"p{str(q)[2:]}") for i, q in enumerate(QS)])
+
+
 @query(
     "knn_regression",
     PAIRS_SQL

@@ -1,6 +1,9 @@
 """Pair queries that leave no vector and no shared reference out."""
 
+import numpy as np
+
 from loomwright.operators import graph as G
+from loomwright.operators import vector as X
 from loomwright.plans import load_core
 
 CORE = load_core()
@@ -21,3 +24,26 @@ def test_pair_table_all_relates_every_pair(spark, data):
     assert any(r["shared"] and not r["by_coupling"] for r in whole.values())
     assert any(r["sim"] is not None and not r["by_vector"] for r in whole.values())
     assert all(r["is_strict"] == (not r["a_cites_b"] and not r["b_cites_a"]) for r in whole.values())
+
+
+def test_percentiles_of_all_pairs_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4)).astype(np.float32)
+    label = [None if i % 9 == 0 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], t) for i, (v, t) in enumerate(zip(x, label))], "r bigint, e array<float>, t int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    same = np.array([[a is not None and a == b for b in label] for a in label])
+    apart = ~np.eye(90, dtype=bool)
+    qs = [0.0, 0.5, 0.9, 0.999, 1.0]
+    got = {r["same"]: r for r in X.pair_percentiles(df, key="r", emb="e", dim=4, label="t", quantiles=qs, block=20).collect()}
+    for k in (True, False):
+        own = s[apart & (same == k)]
+        assert got[k]["n"] == len(own)
+        assert np.allclose(got[k]["values"], np.quantile(own, qs), atol=1.1e-9)
+    assert X.pair_percentiles(df.limit(0), key="r", emb="e", dim=4, label="t", quantiles=qs).count() == 0
+
+
+def test_percentiles_count_every_vector(spark, data):
+    whole, asked = ({r["same_topic"]: r["n"] for r in CORE.queries[k](spark, data).collect()} for k in ("similarity_percentiles_all", "similarity_percentiles"))
+    assert sum(whole.values()) > sum(asked.values())
