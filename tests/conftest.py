@@ -1,10 +1,8 @@
 import os
-import sys
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DATA = "/root/testdata/sf0.001"
 
 
