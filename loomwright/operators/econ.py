@@ -17,7 +17,7 @@ def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str |
     """``df`` with the columns cleared of the effects' (weighted) group means by alternating projections.
 
     One effect takes a single pass; several are swept in turn until no value moves by ``tolerance``. Group means come from
-    aggregates joined back; a sweep is checkpointed.
+    aggregates joined back; a sweep is checkpointed. Columns that still move after ``rounds`` sweeps raise an error.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
     for _ in range(1 if len(effects) == 1 else rounds):
@@ -34,7 +34,7 @@ def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str |
         # a projection only shortens a vector: equal lengths mean it no longer moves
         if all((then[c] or 0) - (now[c] or 0) <= tolerance * max(1.0, then[c] or 0) for c in columns):
             return df
-    return df
+    raise RuntimeError(f"the columns still move after {rounds} sweeps")
 
 
 def _gram(df: DataFrame, x: list[str], y: Column, w: Column) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,8 @@ def fe_ols(df: DataFrame, y: str, x: list[str], effects: list[str], cluster: str
 def fe_poisson(df: DataFrame, y: str, x: list[str], effects: list[str], cluster: str | None = None, tolerance: float = 1e-8, rounds: int = 50) -> DataFrame:
     """``term, coef, se`` of a Poisson regression with absorbed effects, by reweighted least squares on demeaned columns.
 
-    Groups of an effect whose outcome is always 0 say nothing about the terms and are dropped first.
+    Groups of an effect whose outcome is always 0 say nothing about the terms and are dropped first. Coefficients that still move
+    after ``rounds`` rounds raise an error.
     """
     cols = [y, *x]
     rows = df.select(*dict.fromkeys([*cols, *effects, *([cluster] if cluster else [])])).dropna(subset=cols).withColumns({c: F.col(c).cast("double") for c in cols})
@@ -131,6 +132,8 @@ def fe_poisson(df: DataFrame, y: str, x: list[str], effects: list[str], cluster:
         coef = new
         if done:
             break
+    else:
+        raise RuntimeError(f"the coefficients still move after {rounds} rounds")
     scored = flat.withColumn("_e", F.col(y) - F.exp(F.col("_z") - residual))
     se = _clustered(scored, inner, F.col("_e"), cluster, np.linalg.pinv(gram))
     return df.sparkSession.createDataFrame([(t, float(c), float(s)) for t, c, s in zip(x, coef, se)], "term string, coef double, se double")

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomwright.operators.panel import exact_quantiles, running_counts
+from loomwright.session import materialise
+
+#: Rankings that Kendall's tau compares pair by pair.
+MAX_RANKED = 5_000
+
 
 def error_metrics(df: DataFrame, pred: str, y: str) -> DataFrame:
     """One row ``male, rmsle, mae, rmse, n``: ``pred`` is on the log1p scale, ``y`` is not. Null rows are refused by count."""
@@ -25,25 +31,36 @@ def _average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame
     return df.join(counts.select(group, value, (upto - (F.col("_c") - 1) / 2).alias(out)), [group, value])
 
 
-def group_spearman(df: DataFrame, group: str, pred: str, y: str, least: int = 10) -> DataFrame:
-    """``group, n, rho`` for groups of at least ``least`` rows; rho is 0 where either side is constant.
+def _overall_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Average rank of every value over all rows, counted in slices of the values, so no task ranks everything."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_counts(counts, value, "_c")
+    return df.join(placed.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out)), value)
 
-    Pearson on average ranks from plain sums, guarded against zero variance. Rows with a null take no part.
-    """
-    rows = df.select(group, F.col(pred).alias("_p"), F.col(y).alias("_y")).dropna()
-    ranked = _average_ranks(_average_ranks(rows, group, "_p", "rp"), group, "_y", "ry")
-    s = ranked.groupBy(group).agg(
+
+def _pearson(ranked: DataFrame, group: list[str], least: int) -> DataFrame:
+    s = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum("rp").alias("sp"), F.sum("ry").alias("sy"), F.sum(F.col("rp") * F.col("rp")).alias("pp"),
         F.sum(F.col("ry") * F.col("ry")).alias("yy"), F.sum(F.col("rp") * F.col("ry")).alias("py"),
     ).filter(F.col("n") >= least)
     n = F.col("n")
     cov, vp, vy = n * F.col("py") - F.col("sp") * F.col("sy"), n * F.col("pp") - F.col("sp") ** 2, n * F.col("yy") - F.col("sy") ** 2
-    return s.select(group, "n", F.when((vp <= 0) | (vy <= 0), 0.0).otherwise(F.try_divide(cov, F.sqrt(vp) * F.sqrt(vy))).alias("rho"))
+    return s.select(*group, "n", F.when((vp <= 0) | (vy <= 0), 0.0).otherwise(F.try_divide(cov, F.sqrt(vp) * F.sqrt(vy))).alias("rho"))
+
+
+def group_spearman(df: DataFrame, group: str, pred: str, y: str, least: int = 10) -> DataFrame:
+    """``group, n, rho`` for groups of at least ``least`` rows; rho is 0 where either side is constant.
+
+    Pearson on average ranks from plain sums, guarded against zero variance. Rows with a null take no part.
+    """
+    rows = df.select(group, F.col(pred).alias("_p"), F.col(y).alias("_y")).dropna()
+    return _pearson(_average_ranks(_average_ranks(rows, group, "_p", "rp"), group, "_y", "ry"), [group], least)
 
 
 def spearman(df: DataFrame, pred: str, y: str) -> DataFrame:
     """One row ``n, rho`` over all rows."""
-    return group_spearman(df.withColumn("_all", F.lit(1)), "_all", pred, y, 2).select("n", "rho")
+    rows = df.select(F.col(pred).alias("_p"), F.col(y).alias("_y")).dropna()
+    return _pearson(_overall_ranks(_overall_ranks(rows, "_p", "rp"), "_y", "ry"), [], 2)
 
 
 def group_ndcg(df: DataFrame, group: str, pred: str, y: str, key: str, k: int = 10, least: int = 20) -> DataFrame:
@@ -79,8 +96,10 @@ def precision_at_k(df: DataFrame, group: str, pred: str, y: str, key: str, k: in
 
 def early_detection(df: DataFrame, scores: list[str], y: str, shares: list[float]) -> DataFrame:
     """``score, top, recall``: part of the rows in the top share of ``y`` that are also in the top share of each score."""
-    qs = [F.percentile(c, F.lit(1 - s)).alias(f"{c}_{i}") for c in [*scores, y] for i, s in enumerate(shares)]
-    cuts = df.agg(*qs)
+    cuts = None
+    for c in [*scores, y]:
+        own = exact_quantiles(df, c, [1 - s for s in shares]).select(*[F.col("values")[i].alias(f"{c}_{i}") for i in range(len(shares))])
+        cuts = own if cuts is None else cuts.crossJoin(own)  # one row each
     hit = lambda c, i: F.col(c) >= F.col(f"{c}_{i}")
     wide = df.crossJoin(F.broadcast(cuts)).agg(  # one row
         *[F.try_divide(F.count(F.when(hit(c, i) & hit(y, i), 1)), F.count(F.when(hit(y, i), 1))).alias(f"r_{c}_{i}") for c in scores for i in range(len(shares))]
@@ -99,7 +118,10 @@ def error_decomposition(df: DataFrame, group: str, error: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
-    """One row ``tau``: Kendall's tau-a of two scores over the items, meant for rankings of few models."""
+    """One row ``tau``: Kendall's tau-a of two scores over the items, for rankings of at most ``MAX_RANKED`` items; more are refused."""
+    df = materialise(df.select(item, a, b))
+    if df.limit(MAX_RANKED + 1).count() > MAX_RANKED:
+        raise ValueError(f"more than {MAX_RANKED} items to rank")
     x, y = df.select(F.col(item).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1")), df.select(F.col(item).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
     sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
     return x.join(y, F.col("i") < F.col("j")).agg(F.avg(sign).alias("tau"))
@@ -129,8 +151,7 @@ def bootstrap_difference(df: DataFrame, group: str, loss_a: str, loss_b: str, dr
 def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``n, w_plus, w_minus, share_less, share_more``: Wilcoxon's signed ranks of a - b, zero differences left out."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).dropna()
-    kept = d.filter("d <> 0").select(F.lit(1).alias("_g"), F.abs("d").alias("_v"), "d")
-    ranked = _average_ranks(kept, "_g", "_v", "r")
+    ranked = _overall_ranks(d.filter("d <> 0").select(F.abs("d").alias("_v"), "d"), "_v", "r")
     sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
     shares = d.agg(F.avg((F.col("d") < 0).cast("int")).alias("share_less"), F.avg((F.col("d") > 0).cast("int")).alias("share_more"))
     return sums.crossJoin(F.broadcast(shares))  # one row each

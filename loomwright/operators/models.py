@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.panel import global_rank
+
 
 def standardise(df: DataFrame, columns: list[str], train, clip: float = 8.0) -> DataFrame:
     """``df`` with ``{c}_z`` scaled by the training rows' mean and deviation, missing as 0 beside ``{c}_na``, clipped."""
@@ -21,13 +23,15 @@ def standardise(df: DataFrame, columns: list[str], train, clip: float = 8.0) ->
     return wide.withColumns(z).drop(*row.columns)
 
 
-def frequent_codes(df: DataFrame, column: str, train, least: int = 20, most: int = 100_000) -> DataFrame:
-    """``df`` with ``{column}_code``: 1.. by falling training frequency for values seen ``least`` times there, else 0."""
+def frequent_codes(df: DataFrame, column: str, train, least: int = 20) -> DataFrame:
+    """``df`` with ``{column}_code``: 1.. by falling training frequency for values seen ``least`` times there, else 0.
+
+    The code book is ranked in slices and joined, whatever its size; the driver sees none of it.
+    """
     counts = df.filter(train).filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), column).limit(most).collect()  # a code book: at most `most` values
-    spark = df.sparkSession
-    book = spark.createDataFrame([(r[column], i + 1) for i, r in enumerate(rows)], f"{column} {dict(df.dtypes)[column]}, {column}_code int")
-    return df.join(F.broadcast(book), column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(0)))
+    ranked = global_rank(counts.withColumn("_f", -F.col("n")), ["_f", column], "_code", "_n")
+    book = ranked.select(column, F.col("_code").cast("int").alias(f"{column}_code"))
+    return df.join(book, column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(0)))
 
 
 def rival_tensor(rivals: DataFrame, query: str, rank: str, features: list[str], size: int) -> DataFrame:

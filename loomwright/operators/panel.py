@@ -8,9 +8,13 @@ from pyspark.sql import Window as W
 
 
 def current_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of every key the row with the greatest ``order`` columns (nulls least). Combined map-side, so hot keys are no matter."""
-    best = F.max_by(F.struct(*df.columns), F.struct(*order))
-    return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
+    """Of every key the row with the greatest ``order`` columns (nulls least). Combined map-side, so hot keys are no matter.
+
+    Each column is an aggregate of its own, so columns that nobody asks for are pruned down to the scan. Rows equal in ``order``
+    must be repeats of one another.
+    """
+    latest = F.struct(*order)
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.max_by(c, latest).alias(c) for c in df.columns if c != key]).select(*df.columns)
 
 
 def yearly_counts(df: DataFrame, key: str, years: str, counts: str, out: str = "cites") -> DataFrame:
@@ -166,8 +170,7 @@ def variance_share(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def equal_frequency_bins(df: DataFrame, value: str, tie: str, q: int, out: str = "bin") -> DataFrame:
     """``df`` with a bin 1..q of equal frequency by rank (ties by ``tie``); null values have no bin.
 
-    The global rank is two-level: rows are range-sorted into partitions of their own value ranges by Spark's sort, ranks within
-    a range are added to the counts of the ranges before, so no single task sorts everything.
+    The global rank is two-level: see :func:`global_rank`.
     """
     ranked = global_rank(df.filter(F.col(value).isNotNull()), [value, tie], "_rn", "_n")
     bin_ = F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * q / F.greatest(F.col("_n") - 1, F.lit(1)))).cast("int")
@@ -190,6 +193,38 @@ def global_rank(df: DataFrame, order: list[str], out: str, total: str, slices: i
     return sliced.join(F.broadcast(starts), "_b").withColumn(out, F.col("_start") + inside).drop("_b", "_start")  # at most `slices` rows
 
 
+def exact_quantiles(df: DataFrame, column: str, quantiles: list[float], slices: int = 256) -> DataFrame:
+    """One row with the array ``values``: interpolated quantiles of the non-null values; null elements for an empty column.
+
+    Equal values are counted first. Counts are summed up slice by slice along the values, and only the values that hold a wanted
+    rank are kept, so no state holds the column's distinct values.
+    """
+    counts = df.select(F.col(column).cast("double").alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    placed = running_counts(counts, "v", "c", slices)
+    at = F.array(*[F.lit(float(q)) for q in quantiles])
+    upto = F.col("_before") + F.col("c")
+    # of each quantile the values at the ranks on either side of it
+    wanted = F.transform(at, lambda q, i: F.struct(i.alias("i"), (q * (F.col("_n") - 1)).alias("p")))
+    sides = F.flatten(F.transform(wanted, lambda w: F.array(F.struct(w["i"].alias("i"), w["p"].alias("p"), F.floor(w["p"]).alias("r")), F.struct(w["i"].alias("i"), w["p"].alias("p"), F.ceil(w["p"]).alias("r")))))
+    mine = F.filter(sides, lambda s: (s["r"] >= F.col("_before")) & (s["r"] < upto))
+    hits = placed.select("v", F.inline(mine))
+    lo, hi = F.min("v"), F.max("v")
+    each = hits.groupBy("i").agg((lo + (F.first("p") - F.floor(F.first("p"))) * (hi - lo)).alias("q"))
+    listed = each.agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("m"))  # one entry a quantile
+    return listed.select(F.transform(F.sequence(F.lit(0), F.lit(len(quantiles) - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
+
+
+def running_counts(counts: DataFrame, value: str, count: str, slices: int = 256) -> DataFrame:
+    """``counts`` (one row per ``value``) with ``_before``, the sum of ``count`` over the lesser values, and ``_n``, the sum of all."""
+    cuts = counts.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
+    sliced = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")  # one row
+    sums = sliced.groupBy("_b").agg(F.sum(count).alias("_c"))
+    ahead = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_start"), F.sum("_c").over(W.partitionBy()).alias("_n"))
+    inside = F.coalesce(F.sum(count).over(W.partitionBy("_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sliced.join(F.broadcast(starts), "_b").withColumn("_before", F.col("_start") + inside).drop("_b", "_start")  # at most `slices` rows
+
+
 def percent_rank_in(df: DataFrame, cell: list[str], value: str, out: str) -> DataFrame:
     """``df`` with the percent rank of the value in its cell (least 0, alone 0)."""
     return df.withColumn(out, F.percent_rank().over(W.partitionBy(*cell).orderBy(value)))

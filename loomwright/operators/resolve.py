@@ -26,6 +26,18 @@ PART_WORD = "^([0-9]+|i{1,3}|iv|v|vi{1,3}|ix|x|xi{1,3})$"
 MAX_GROUP = 6
 
 
+#: Patterns of venue names and the class each stands for, the first that fits (fixed values).
+VENUE_CLASSES = (("%arxiv%", "arxiv"), ("%preprint%", "repository"), ("%repository%", "repository"), ("%ebook%", "ebook"), ("%book%", "book series"), ("%conference%", "conference"), ("%journal%", "journal"))
+
+
+def venue_classes(df: DataFrame, name: str, out: str = "kind") -> DataFrame:
+    """``df`` with the class of its venue name by :data:`VENUE_CLASSES`; a null name or one that fits none has the class none."""
+    kind = F.lit("none")
+    for pattern, c in reversed(VENUE_CLASSES):
+        kind = F.when(F.col(name).ilike(pattern), c).otherwise(kind)
+    return df.withColumn(out, kind)
+
+
 def is_junk(title: str) -> Column:
     """Whether a title is too short (under ten characters as words) or names no work."""
     words = title_words(title)
@@ -174,8 +186,13 @@ def near_duplicate_edges(cand: DataFrame, papers: DataFrame, *, years: int = 3,
     words = lambda p, q: F.array_except(F.split(f"t_{p}", " "), F.split(f"t_{q}", " "))
     parts = F.size(F.filter(F.concat(words("a", "b"), words("b", "a")), lambda w: w.rlike(PART_WORD)))
     close = pairs.filter((shared("author_ids_a", "author_ids_b") > 0) & (F.abs(F.col("year_a") - F.col("year_b")) <= years) & (parts == 0))
-    rated = title_similarity(close, "t_a", "t_b").withColumn("auth_jacc", jaccard("author_ids_a", "author_ids_b"))
     same = F.col("t_a") == F.col("t_b")
+    # only pairs that can still qualify are compared letter by letter: a title similarity of 0.9 needs a Jaro similarity of 5/6
+    # with the longest prefix, and that lengths of at least one to two
+    shorter, longer = F.least(*[F.octet_length(c) for c in ("t_a", "t_b")]), F.greatest(*[F.octet_length(c) for c in ("t_a", "t_b")])
+    bound = (2 + F.try_divide(shorter, longer)) / 3 if titles > 0.7 else F.lit(1.0)
+    hopeful = close.withColumn("auth_jacc", jaccard("author_ids_a", "author_ids_b")).filter(same | ((F.col("auth_jacc") >= authors) & (bound + 0.4 * (1 - bound) >= titles - 1e-9)))
+    rated = title_similarity(hopeful, "t_a", "t_b")
     return rated.filter(((F.col("auth_jacc") >= authors) & (F.col("title_sim") >= titles)) | same).select("a", "b", "title_sim", "auth_jacc", same.alias("same_title"))
 
 

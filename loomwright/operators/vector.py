@@ -27,43 +27,43 @@ def usable_vectors(df: DataFrame, key: str, emb: str, dim: int) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).groupBy(key).agg(F.min(emb).alias(emb))
 
 
-def unit(df: DataFrame, emb: str) -> DataFrame:
-    """``emb`` scaled to length one, in double precision."""
-    norm = F.sqrt(F.aggregate(emb, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return df.withColumn("_n", norm).withColumn(emb, F.transform(emb, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
-
-
 def block_pairs(queries: DataFrame, members: DataFrame, *, key: str, emb: str, dim: int, least: float = -1.0, k: int | None = None, year: str | None = None, back: int = 0, ahead: int = 0) -> DataFrame:
     """``q, m, sim``: pairs of different keys with a cosine of at least ``least``; with ``k`` only the k best of each query.
 
-    With ``year``, a member counts if its year lies between the query's year - back and + ahead. Ties go to the smaller key.
-    Both sides are hashed into blocks of about ``BLOCK`` rows, every pair of blocks is multiplied in one task, and with ``k`` a
-    block hands on only its own k best of each query, which are merged afterwards. Nothing is approximated.
+    With ``year``, a member counts if its year lies between the query's year - back and + ahead; rows without a year take no part.
+    Ties go to the smaller key. The year is part of the block key: a query is sent to the years it looks at, and meets no others.
+    Within a year both sides are hashed into blocks of about ``BLOCK`` rows, every pair of blocks is multiplied in one task, and
+    with ``k`` a block hands on only its own k best of each query, which are merged afterwards. Nothing is approximated.
     """
-    cols = [key, emb, *([year] if year else [])]
-    q, m = materialise(unit(queries.select(*cols), emb)), materialise(unit(members.select(*cols), emb))
-    nq, nm = (max(1, -(-d.count() // BLOCK)) for d in (q, m))
-    y = F.col(year).cast("int") if year else F.lit(0)
+    when = F.col(year).cast("int") if year else F.lit(0)
+    pick = lambda d: materialise(d.select(F.col(key).cast("bigint").alias("key"), F.col(emb).cast("array<float>").alias("vec"), when.alias("year")).filter("year is not null"))
+    q, m = pick(queries), pick(members)
+    # members by year, and queries by the year they look at: one row a year reaches the driver
+    held = {r["year"]: r["count"] for r in m.groupBy("year").count().collect()}
+    looks = F.filter(F.array(*[F.lit(y) for y in sorted(held)]), lambda y: (y >= F.col("year") - back) & (y <= F.col("year") + ahead)) if held else F.array().cast("array<int>")
+    asking = q.select("key", "vec", F.explode(looks if year else F.array(F.lit(0))).alias("at"))
+    asked = {r["at"]: r["count"] for r in asking.groupBy("at").count().collect()}
+    if not held or not asked:
+        return m.sparkSession.createDataFrame([], "q bigint, m bigint, sim double")
+    number = lambda counts: F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, -(-n // BLOCK))])
+    nq, nm = number(asked)[F.col("at")], number(held)[F.col("at")]
     side = lambda d, own, other, n_own, n_other, ask: d.select(
-        F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
-        F.lit(ask).alias("ask"), F.col(key).cast("bigint").alias("key"), y.alias("year"), F.col(emb).alias("vec"),
-    )
-    both = side(q, "qb", "mb", nq, nm, True).unionByName(side(m, "mb", "qb", nm, nq, False).select("qb", "mb", "ask", "key", "year", "vec"))
+        "at", F.pmod(F.xxhash64("key"), n_own).cast("int").alias(own), F.explode(F.sequence(F.lit(0), n_other.cast("int") - 1)).alias(other), F.lit(ask).alias("ask"), "key", "vec"
+    )
+    present = m.select("key", "vec", F.col("year").alias("at")).filter(F.col("at").isin(*asked))
+    both = side(asking, "qb", "mb", nq, nm, True).unionByName(side(present, "mb", "qb", nm, nq, False))
 
     def multiply(t: pa.Table) -> pa.Table:
-        ask, ids, when = (t[c].to_numpy() for c in ("ask", "key", "year"))
-        x = np.asarray(t["vec"].combine_chunks().flatten()).reshape(-1, dim)
+        ask, ids = (t[c].to_numpy() for c in ("ask", "key"))
+        x = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         qi, mi = np.flatnonzero(ask), np.flatnonzero(~ask)
         mi = mi[np.argsort(ids[mi], kind="stable")]
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for s in range(0, len(qi), 256):
             own = qi[s : s + 256]
             sim = np.round(x[own] @ x[mi].T, DECIMALS)
-            ok = (sim >= least) & (ids[own][:, None] != ids[mi][None, :])
-            if year:
-                lag = when[mi][None, :] - when[own][:, None]
-                ok &= (lag >= -back) & (lag <= ahead)
-            a, b = np.nonzero(ok)
+            a, b = np.nonzero((sim >= least) & (ids[own][:, None] != ids[mi][None, :]))
             if k is not None and len(a):
                 order = np.lexsort((b, -sim[a, b], a))
                 a, b = a[order], b[order]
@@ -73,8 +73,9 @@ def block_pairs(queries: DataFrame, members: DataFrame, *, key: str, emb: str, d
         cols = [np.concatenate(c) for c in zip(*parts)]
         return pa.table({"q": pa.array(cols[0]), "m": pa.array(cols[1]), "sim": pa.array(cols[2])})
 
-    width = max(1, min(nq * nm, 4 * partitions(queries.sparkSession)))
-    found = both.repartition(width, "qb", "mb").groupBy("qb", "mb").applyInArrow(multiply, "q bigint, m bigint, sim double")
+    cells = sum(-(-n // BLOCK) * -(-held[y] // BLOCK) for y, n in asked.items() if y in held)
+    width = max(1, min(cells, 4 * partitions(m.sparkSession)))
+    found = both.repartition(width, "at", "qb", "mb").groupBy("at", "qb", "mb").applyInArrow(multiply, "q bigint, m bigint, sim double")
     return found if k is None else ranked(found, k).drop("rank")
 
 

@@ -120,14 +120,15 @@ def q_coupled_prior(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "venue_at_time",
     f"""WITH {PAPERS_SQL}, v AS (SELECT *, CASE WHEN regexp_full_match(publication_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND publication_date >= '0001' THEN year(try_cast(publication_date AS DATE)) END AS py FROM papers)
-SELECT id, CASE WHEN coalesce(py, 9999) <= year AND lower(trim(type)) <> 'preprint' THEN lower(trim(type)) WHEN arxiv_id IS NOT NULL THEN 'arxiv' ELSE 'preprint_other' END AS venue, CASE WHEN coalesce(py, 9999) <= year THEN source_id END AS source FROM v""",
+SELECT id, CASE WHEN out AND kind IS DISTINCT FROM 'preprint' AND kind IS NOT NULL THEN kind WHEN length(arxiv_id) >= 0 THEN 'arxiv' ELSE 'preprint_other' END AS venue, if(out, source_id, NULL) AS source, arxiv_id IS NOT NULL OR coalesce(kind = 'preprint', false) AS has_preprint
+FROM (SELECT *, lower(trim(type)) AS kind, coalesce(py <= year, false) AS out FROM v)""",
 )
 def q_venue_at(spark: SparkSession, d: str) -> DataFrame:
     """The venue as it stood at the end of the paper's first year."""
-    out = F.coalesce(F.year(full_date("publication_date")), F.lit(9999)) <= F.col("year")
+    out = F.coalesce(F.year(full_date("publication_date")) <= F.col("year"), F.lit(False))
     kind = F.lower(F.trim("type"))
     venue = F.when(out & (kind != "preprint"), kind).when(F.col("arxiv_id").isNotNull(), "arxiv").otherwise("preprint_other")
-    return papers(spark, d).select("id", venue.alias("venue"), F.when(out, F.col("source_id")).alias("source"))
+    return papers(spark, d).select("id", venue.alias("venue"), F.when(out, F.col("source_id")).alias("source"), (F.col("arxiv_id").isNotNull() | F.coalesce(kind == "preprint", F.lit(False))).alias("has_preprint"))
 
 
 FOCAL_SQL = f"""WITH {PAPERS_SQL}, {PANEL_SQL}, foc AS (SELECT id, year, topic FROM papers WHERE year BETWEEN 2017 AND 2021 AND n_refs >= 5 AND length(title) > 0),

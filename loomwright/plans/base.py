@@ -23,6 +23,11 @@ EDGES_SQL = """edges AS (SELECT citing_id, cited_id, min(CAST(citing_year AS INT
 SCORED_SQL = """scored AS (SELECT paper_id, max(CAST(first_public_year AS INT)) AS g, max(split) AS split, max(venue_at_t) AS venue, max(topic) AS topic,
   coalesce(max(y1), 0) + coalesce(max(y2), 0) + coalesce(max(y3a), 0) AS y, ln(1 + coalesce(max(auth_cites_max), 0)) AS pred_a, ln(1 + coalesce(max(topic_supply_y), 0)) / 2 AS pred_b
   FROM pred_sample WHERE paper_id IS NOT NULL GROUP BY paper_id)"""
+#: Needs PAPERS_SQL: the date of every paper with a year, and how exactly it is known.
+DATES_SQL = r"""dt AS (SELECT id, year, coalesce(known.on_day, make_date(year, 1, 1)) AS day, coalesce(known.prec, 'year') AS prec FROM (
+  SELECT id, year, list_min(list_filter([{'on_day': stated, 'prec': 'day'}, {'on_day': posted, 'prec': 'month'}], lambda k: year(k.on_day) = year)) AS known FROM (
+    SELECT id, year, CASE WHEN strftime(full_day, '%d%m') <> '0101' THEN full_day END AS stated, CASE WHEN arxiv_id SIMILAR TO '\d{4}\.\d{4,5}.*' THEN try_strptime('20' || left(arxiv_id, 4) || '15', '%Y%m%d')::DATE END AS posted
+    FROM (SELECT id, year, arxiv_id, CASE WHEN publication_date SIMILAR TO '\d{4}-\d\d-\d\d' AND publication_date NOT LIKE '0000%' THEN try_cast(publication_date AS DATE) END AS full_day FROM papers WHERE year IS NOT NULL))))"""
 VECTORS_SQL = f"""vec AS (SELECT emb_row AS r, min(emb) AS e, min(id) AS id FROM paper_vector WHERE emb_row IS NOT NULL AND len(emb) = {DIM}
   AND NOT list_contains(list_transform(emb, lambda x: coalesce(isfinite(x), false)), false) AND list_sum(list_transform(emb, lambda x: abs(x))) > 0 GROUP BY emb_row)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.columns import title_words
 from loomwright.operators import graph as G
 from loomwright.operators import resolve as R
-from loomwright.plans.base import EDGES_SQL, PAPERS_SQL, edges, paper_year, papers
+from loomwright.plans.base import DATES_SQL, EDGES_SQL, PAPERS_SQL, edges, paper_year, papers
 from loomwright.registry import query
 from loomwright.session import materialise
 from loomwright.sources.tables import table
@@ -170,17 +170,21 @@ def q_junk(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).filter(R.is_junk("title")).select("id")
 
 
-ND_SQL = f"""pw AS (SELECT id, year, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t, list_filter(coalesce(author_ids, []), lambda x: x IS NOT NULL) AS au FROM papers),
-st AS (SELECT x.id AS a, y.id AS b FROM pw x JOIN pw y ON x.t = y.t AND x.id < y.id WHERE x.t <> '' AND x.t IN (SELECT t FROM pw GROUP BY t HAVING count(*) BETWEEN 2 AND 5)),
-cand AS (SELECT a, b FROM st UNION SELECT least(a, b), greatest(a, b) FROM merge_edge WHERE a <> b),
-ft AS (SELECT c.a, c.b, x.t AS ta, y.t AS tb, abs(x.year - y.year) AS dy, jaro_winkler_similarity(x.t, y.t) AS sim, len(list_intersect(x.au, y.au)) AS sh, len(list_distinct(list_concat(x.au, y.au))) AS un,
-  len(list_filter(list_concat(list_filter(string_split(x.t, ' '), lambda w: NOT list_contains(string_split(y.t, ' '), w)), list_filter(string_split(y.t, ' '), lambda w: NOT list_contains(string_split(x.t, ' '), w))), lambda w: regexp_matches(w, '{R.PART_WORD}'))) AS parts
-  FROM cand c JOIN pw x ON x.id = c.a JOIN pw y ON y.id = c.b)"""
+ND_SQL = f"""pw AS (SELECT id, year, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM papers),
+team AS (SELECT DISTINCT id, a FROM (SELECT id, unnest(author_ids) AS a FROM papers) WHERE a IS NOT NULL), heads AS (SELECT id, count(*) AS n FROM team GROUP BY id),
+block AS (SELECT t, unnest(list(id)) AS id FROM pw WHERE t <> '' GROUP BY t HAVING count(*) IN (2, 3, 4, 5)),
+cand AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.id AS a, y.id AS b FROM block x JOIN block y USING (t) UNION ALL SELECT a, b FROM merge_edge) WHERE a <> b AND a IN (FROM (SELECT id FROM pw)) AND b IN (FROM (SELECT id FROM pw))),
+numeral AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(string_split(t, ' ')) AS w FROM pw) WHERE regexp_matches(w, '{R.PART_WORD}')),
+na AS (SELECT a, b, w FROM cand JOIN numeral ON id = a), nb AS (SELECT a, b, w FROM cand JOIN numeral ON id = b),
+apart AS (SELECT DISTINCT a, b FROM ((FROM na EXCEPT FROM nb) UNION ALL (FROM nb EXCEPT FROM na))),
+both_sign AS (SELECT c.a, c.b, count(*) AS sh FROM (SELECT a, b FROM cand) c JOIN team x ON x.id = c.a JOIN team y ON y.id = c.b AND y.a = x.a GROUP BY ALL),
+ft AS (SELECT c.a, c.b, x.t AS ta, y.t AS tb, abs(x.year - y.year) AS dy, jaro_winkler_similarity(x.t, y.t) AS sim, coalesce(s.sh, 0) AS sh, coalesce(h.n, 0) + coalesce(k.n, 0) - coalesce(s.sh, 0) AS un, z.a IS NOT NULL AS parts
+  FROM cand c JOIN pw x ON x.id = c.a JOIN pw y ON y.id = c.b LEFT JOIN both_sign s ON s.a = c.a AND s.b = c.b LEFT JOIN heads h ON h.id = c.a LEFT JOIN heads k ON k.id = c.b LEFT JOIN apart z ON z.a = c.a AND z.b = c.b)"""
 
 
 @query(
     "near_duplicates",
-    f"{WP}, {ND_SQL} SELECT a, b, round(sim, 6) AS title_sim, round(sh / greatest(un, 1), 6) AS auth_jacc, ta = tb AS same_title FROM ft WHERE sh > 0 AND dy <= 3 AND parts = 0 AND ((sh / greatest(un, 1) >= 0.5 AND sim >= 0.9) OR ta = tb)",
+    f"{WP}, {ND_SQL} SELECT a, b, round(sim, 6) AS title_sim, round(sh / greatest(un, 1), 6) AS auth_jacc, ta = tb AS same_title FROM ft WHERE sh > 0 AND dy <= 3 AND NOT parts AND ((sh / greatest(un, 1) >= 0.5 AND sim >= 0.9) OR ta = tb)",
 )
 def q_near(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs (equal titles in small blocks, and matched pairs) that are one paper."""
@@ -211,36 +215,28 @@ def q_pair_classes(spark: SparkSession, d: str) -> DataFrame:
     return rated.select("a", "b", kind.alias("kind"))
 
 
-@query(
-    "date_precision",
-    f"""{WP}, v AS (SELECT id, year, CASE WHEN regexp_full_match(publication_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND publication_date >= '0001' THEN try_cast(publication_date AS DATE) END AS day, coalesce(arxiv_id, '') AS ax FROM papers WHERE year IS NOT NULL),
-c AS (SELECT id, year, day AS d, 0 AS p FROM v WHERE day IS NOT NULL AND NOT (month(day) = 1 AND day(day) = 1) UNION ALL
-  SELECT id, year, try_cast('20' || substr(ax, 1, 2) || '-' || substr(ax, 3, 2) || '-15' AS DATE), 1 FROM v WHERE regexp_matches(ax, '^[0-9]{{4}}[.][0-9]{{4,5}}') AND substr(ax, 3, 2) BETWEEN '01' AND '12'),
-b AS (SELECT id, d, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, p) AS rn FROM c WHERE year(d) = year) WHERE rn = 1)
-SELECT v.id, v.year AS first_year, CAST(coalesce(b.d, make_date(v.year, 1, 1)) AS VARCHAR) AS first_date, CASE WHEN b.d IS NULL THEN 'year' WHEN b.p = 0 THEN 'day' ELSE 'month' END AS precision FROM v LEFT JOIN b ON b.id = v.id""",
-)
+@query("date_precision", f"{WP}, {DATES_SQL} SELECT id, year AS first_year, CAST(day AS VARCHAR) AS first_date, prec AS precision FROM dt")
 def q_dates(spark: SparkSession, d: str) -> DataFrame:
     return R.date_precision(papers(spark, d), "id").withColumn("first_date", F.col("first_date").cast("string"))
 
 
 @query(
     "venue_classes",
-    """SELECT source, CASE WHEN lower(source) LIKE '%preprint%' OR lower(source) LIKE 'arxiv%' THEN 'arxiv' WHEN lower(source) LIKE '%press%' OR lower(source) LIKE '%letters%' OR lower(source) LIKE '%review%' THEN 'journal'
-WHEN lower(source) LIKE '%workshop%' OR lower(source) LIKE '%lectures%' THEN 'conference' WHEN lower(source) LIKE '%repo%' OR lower(source) LIKE '%archive%' THEN 'repository' ELSE 'none' END AS venue_class, count(*) AS n FROM documents GROUP BY 1, 2""",
+    """WITH c AS (SELECT paper_id, trim(lower(coalesce(venue_class, ''))) AS v FROM venue_log) SELECT CASE WHEN contains(v, 'arxiv') THEN 'arxiv' WHEN contains(v, 'preprint') OR contains(v, 'repository') THEN 'repository' WHEN contains(v, 'ebook') THEN 'ebook'
+WHEN contains(v, 'book') THEN 'book series' WHEN contains(v, 'conference') THEN 'conference' WHEN contains(v, 'journal') THEN 'journal' ELSE 'none' END AS venue_class, count(DISTINCT paper_id) AS n_papers, count(*) AS n_rows FROM c GROUP BY 1""",
 )
 def q_venue(spark: SparkSession, d: str) -> DataFrame:
-    """Sources by class, from patterns over their names, case aside."""
-    s = F.col("source")
-    some = lambda *ps: sum((s.ilike(p).cast("int") for p in ps), F.lit(0)) > 0
-    kind = F.when(some("%preprint%", "arxiv%"), "arxiv").when(some("%press%", "%letters%", "%review%"), "journal").when(some("%workshop%", "%lectures%"), "conference").when(some("%repo%", "%archive%"), "repository")
-    return table(spark, d, "documents").groupBy("source", F.coalesce(kind, F.lit("none")).alias("venue_class")).agg(F.count(F.lit(1)).alias("n"))
+    """Recorded venues by class, from patterns over their names, case aside."""
+    return R.venue_classes(table(spark, d, "venue_log"), "venue_class").groupBy("kind").agg(F.countDistinct("paper_id").alias("n_papers"), F.count(F.lit(1)).alias("n_rows")).withColumnRenamed("kind", "venue_class")
 
 
 @query(
     "title_match",
-    f"{WP}, k AS (SELECT id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM papers), x AS (SELECT min(id) AS ref_id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM ref_work GROUP BY 2) SELECT k.id, x.ref_id FROM k JOIN x ON x.w = k.w WHERE k.w <> ''",
+    f"""{WP}, k AS (SELECT id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM papers),
+x AS (SELECT min(doc_id) AS doc_id, trim(regexp_replace(lower(split_part(text, '. ', 1)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM documents WHERE section = 'title_abstract' GROUP BY 2) SELECT k.id, x.doc_id FROM k JOIN x ON x.w = k.w WHERE k.w <> ''""",
 )
 def q_title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Works whose title words equal those of an external list, the first of each title there."""
-    outer = table(spark, d, "ref_work").select("id", title_words("title").alias("w")).filter("w <> ''").groupBy("w").agg(F.min("id").alias("ref_id"))
-    return papers(spark, d).select("id", title_words("title").alias("w")).join(outer, "w").select("id", "ref_id")
+    """Works whose title words equal those at the head of an outer text, the first text of each title."""
+    heads = table(spark, d, "documents").filter("section = 'title_abstract'").select("doc_id", title_words(F.substring_index("text", ". ", 1)).alias("w"))
+    outer = heads.filter("w <> ''").groupBy("w").agg(F.min("doc_id").alias("doc_id"))
+    return papers(spark, d).select("id", title_words("title").alias("w")).join(outer, "w").select("id", "doc_id")

@@ -42,18 +42,24 @@ def q_yearly_targets(spark: SparkSession, d: str) -> DataFrame:
     return P.yearly_targets(p.withColumnRenamed("year", "start"), paper_year(p), "id", "start")
 
 
-@query("cumulative_as_of", PP + " SELECT y.id, t.as_of, CAST(sum(y.cites) AS BIGINT) AS cum FROM py y JOIN (SELECT CAST(unnest(range(2017, 2022)) AS INT) AS as_of) t ON y.year <= t.as_of GROUP BY 1, 2")
+#: The years panels are looked back from, and each paper's running total at them.
+RUN_SQL = """looks AS (SELECT CAST(unnest([2017, 2018, 2019, 2020, 2021]) AS INT) AS as_of), run AS (SELECT id, year, CAST(sum(cites) OVER (PARTITION BY id ORDER BY year) AS BIGINT) AS total FROM py)"""
+
+
+@query("cumulative_as_of", f"{PP}, {RUN_SQL} SELECT g.id, g.as_of, r.total AS cum FROM (SELECT id, as_of FROM (SELECT DISTINCT id FROM py), looks) g ASOF JOIN run r ON r.id = g.id AND g.as_of >= r.year")
 def q_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return P.cumulative_as_of(paper_year(papers(spark, d)), "id", 2017, 2021)
 
 
-HISTORY_SQL = (
-    PP
-    + """, cum AS (SELECT y.id, t.as_of, CAST(sum(y.cites) AS BIGINT) AS cum FROM py y JOIN (SELECT CAST(unnest(range(2017, 2022)) AS INT) AS as_of) t ON y.year <= t.as_of GROUP BY 1, 2),
-held AS (SELECT id, year, unnest(author_ids) AS member FROM papers),
-hist AS (SELECT member, t.as_of, count(*) AS n_prior, CAST(coalesce(sum(c.cum), 0) AS BIGINT) AS cites_prior
-  FROM (SELECT * FROM held WHERE member IS NOT NULL) h JOIN (SELECT CAST(unnest(range(2017, 2022)) AS INT) AS as_of) t ON h.year < t.as_of LEFT JOIN cum c ON c.id = h.id AND c.as_of = t.as_of GROUP BY 1, 2)"""
-)
+def _story_sql(members: str) -> str:
+    """History of the members in ``members(member, id, year)`` as events: a paper counts from the year after its own, a citation from then or its own year on."""
+    return f"""{PP}, looks AS (SELECT CAST(unnest([2017, 2018, 2019, 2020, 2021]) AS INT) AS as_of), owned AS ({members}),
+happened AS (SELECT member, year + 1 AS since, 1 AS paper, 0 AS cites FROM owned UNION ALL SELECT o.member, greatest(o.year + 1, y.year), 0, y.cites FROM owned o JOIN py y ON y.id = o.id),
+story AS (SELECT member, since, sum(sum(paper)) OVER w AS n_prior, sum(sum(cites)) OVER w AS cites_prior FROM happened GROUP BY member, since WINDOW w AS (PARTITION BY member ORDER BY since)),
+hist AS (SELECT g.member, g.as_of, CAST(s.n_prior AS BIGINT) AS n_prior, CAST(s.cites_prior AS BIGINT) AS cites_prior FROM (SELECT member, as_of FROM (SELECT DISTINCT member FROM owned), looks) g ASOF JOIN story s ON s.member = g.member AND g.as_of >= s.since)"""
+
+
+HISTORY_SQL = _story_sql("SELECT member, id, year FROM (SELECT unnest(author_ids) AS member, id, year FROM papers WHERE year IS NOT NULL) WHERE member IS NOT NULL")
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -70,10 +76,11 @@ def q_author_history(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "team_history",
     HISTORY_SQL
-    + """, listed AS (SELECT id, year, unnest(author_ids) AS member, unnest(range(len(author_ids))) AS pos FROM papers),
-j AS (SELECT l.id, l.pos, coalesce(n_prior, 0) AS n, coalesce(cites_prior, 0) AS c, coalesce(cites_prior / nullif(n_prior, 0), 0) AS pp FROM listed l LEFT JOIN hist h ON h.member = l.member AND h.as_of = l.year)
-SELECT id, max(c) AS cites_max, round(avg(c), 6) AS cites_mean, max(n) AS papers_max, round(avg(n), 6) AS papers_mean, max(c) FILTER (WHERE pos = 0) AS first_cites, max(n) FILTER (WHERE pos = 0) AS first_papers,
-  round(avg(CAST(n = 0 AS INT)), 6) AS share_new, round(ln(1 + max(pp)), 6) AS log_per_paper_max, round(ln(1 + avg(pp)), 6) AS log_per_paper_mean FROM j GROUP BY id""",
+    + """, seats AS (SELECT id, year, generate_subscripts(author_ids, 1) AS seat, unnest(author_ids) AS member FROM papers),
+teams AS (SELECT s.id, list(coalesce(h.cites_prior, 0) ORDER BY seat) AS cs, list(coalesce(h.n_prior, 0) ORDER BY seat) AS ns FROM seats s LEFT JOIN hist h ON h.member = s.member AND h.as_of = s.year GROUP BY s.id),
+rated AS (SELECT *, list_transform(list_zip(cs, ns), lambda z: CASE WHEN z[2] > 0 THEN z[1] / z[2] ELSE 0 END) AS per FROM teams)
+SELECT id, list_max(cs) AS cites_max, round(list_avg(cs), 6) AS cites_mean, list_max(ns) AS papers_max, round(list_avg(ns), 6) AS papers_mean, cs[1] AS first_cites, ns[1] AS first_papers,
+  round(len(list_filter(ns, lambda n: n = 0)) / len(ns), 6) AS share_new, round(ln(1 + list_max(per)), 6) AS log_per_paper_max, round(ln(1 + list_avg(per)), 6) AS log_per_paper_mean FROM rated""",
 )
 def q_team_history(spark: SparkSession, d: str) -> DataFrame:
     p, hist = _history(spark, d)
@@ -81,13 +88,7 @@ def q_team_history(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({c: r6(c) for c in ("cites_mean", "papers_mean", "share_new", "log_per_paper_max", "log_per_paper_mean")})
 
 
-@query(
-    "venue_history",
-    PP
-    + """, cum AS (SELECT y.id, t.as_of, CAST(sum(y.cites) AS BIGINT) AS cum FROM py y JOIN (SELECT CAST(unnest(range(2017, 2022)) AS INT) AS as_of) t ON y.year <= t.as_of GROUP BY 1, 2)
-SELECT source_id AS member, t.as_of, count(*) AS n_prior, CAST(coalesce(sum(c.cum), 0) AS BIGINT) AS cites_prior FROM papers p JOIN (SELECT CAST(unnest(range(2017, 2022)) AS INT) AS as_of) t ON p.year < t.as_of
-LEFT JOIN cum c ON c.id = p.id AND c.as_of = t.as_of WHERE source_id IS NOT NULL GROUP BY 1, 2""",
-)
+@query("venue_history", _story_sql("SELECT source_id AS member, id, year FROM papers WHERE source_id IS NOT NULL AND year IS NOT NULL") + " SELECT * FROM hist")
 def q_venue_history(spark: SparkSession, d: str) -> DataFrame:
     """The member history operator over another array: the record's venue, as institutions are treated."""
     p = papers(spark, d).withColumn("venues", F.array("source_id"))

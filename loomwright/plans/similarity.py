@@ -13,7 +13,7 @@ from loomwright.operators import panel as P
 from loomwright.operators import resolve as R
 from loomwright.operators import rivals as V
 from loomwright.operators import vector as X
-from loomwright.plans.base import DIM, EDGES_SQL, PAPERS_SQL, PANEL_SQL, SCORED_SQL, VECTORS_SQL, edges, paper_year, papers, scored, vectors
+from loomwright.plans.base import DATES_SQL, DIM, EDGES_SQL, PAPERS_SQL, PANEL_SQL, SCORED_SQL, VECTORS_SQL, edges, paper_year, papers, scored, vectors
 from loomwright.registry import query
 from loomwright.session import materialise
 
@@ -22,11 +22,6 @@ ASK = 50
 #: Similarity from which papers of these tables count as strong rivals, and the thresholds counted at.
 STRONG, TAUS = 0.85, [0.85, 0.88, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98]
 
-DATES_SQL = """dv AS (SELECT id, year, CASE WHEN regexp_full_match(publication_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND publication_date >= '0001' THEN try_cast(publication_date AS DATE) END AS day, coalesce(arxiv_id, '') AS ax FROM papers WHERE year IS NOT NULL),
-dc AS (SELECT id, year, day AS d, 0 AS p FROM dv WHERE day IS NOT NULL AND NOT (month(day) = 1 AND day(day) = 1) UNION ALL
-  SELECT id, year, try_cast('20' || substr(ax, 1, 2) || '-' || substr(ax, 3, 2) || '-15' AS DATE), 1 FROM dv WHERE regexp_matches(ax, '^[0-9]{4}[.][0-9]{4,5}') AND substr(ax, 3, 2) BETWEEN '01' AND '12'),
-db AS (SELECT id, d, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, p) AS rn FROM dc WHERE year(d) = year) WHERE rn = 1),
-dt AS (SELECT dv.id, dv.year, coalesce(db.d, make_date(dv.year, 1, 1)) AS day, CASE WHEN db.d IS NULL THEN 'year' WHEN db.p = 0 THEN 'day' ELSE 'month' END AS prec FROM dv LEFT JOIN db ON db.id = dv.id)"""
 BASE_SQL = f"WITH {PAPERS_SQL}, {VECTORS_SQL}, {DATES_SQL}, vy AS (SELECT v.r, v.e, v.id, dt.year, dt.day, dt.prec, p.topic, p.author_ids FROM vec v JOIN dt ON dt.id = v.id JOIN papers p ON p.id = v.id)"
 PAIRS_SQL = BASE_SQL + f""", pr AS (SELECT a.r AS q, b.r AS m, a.id AS qi, b.id AS mi, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 9) AS sim, a.year AS yq, b.year AS ym, a.day AS dq, b.day AS dm, a.prec AS pq, b.prec AS pm,
   a.topic AS tq, b.topic AS tm, list_has_any(list_filter(coalesce(a.author_ids, []), lambda x: x IS NOT NULL), list_filter(coalesce(b.author_ids, []), lambda x: x IS NOT NULL)) AS same_team FROM vy a JOIN vy b ON a.r <> b.r WHERE a.r % {ASK} = 0)"""
@@ -47,8 +42,8 @@ def _asked(v: DataFrame) -> DataFrame:
     return v.filter(F.col("r") % ASK == 0)
 
 
-def _pairs(v: DataFrame, least: float = -1.0, k: int | None = None, back: int = 99, ahead: int = 99) -> DataFrame:
-    return X.block_pairs(_asked(v), v, key="r", emb="e", dim=DIM, least=least, k=k, year="year", back=back, ahead=ahead)
+def _pairs(v: DataFrame, least: float = -1.0, k: int | None = None, back: int | None = None, ahead: int = 0) -> DataFrame:
+    return X.block_pairs(_asked(v), v, key="r", emb="e", dim=DIM, least=least, k=k, year=None if back is None else "year", back=back or 0, ahead=ahead)
 
 
 def _facts(v: DataFrame, pairs: DataFrame) -> DataFrame:
