@@ -25,15 +25,15 @@ def corpus(n, seed):
 
 def scores(m, texts):
     parts = [A.sentences(t) for t in texts]
-    z = A.logits(m.weights, m.bias, *A.features([A.fold(s) for p in parts for s in p]))
-    return A.noisy_or(z, np.array([len(p) for p in parts]))
+    z = A.logits(m.weights, m.bias, *A.letters([s for p in parts for s in p]))
+    return A.document_scores(z, np.array([len(p) for p in parts]), m.leak)
 
 
 def test_spellings_fold_to_one():
     plain = A.fold("you idiot")
     for s in ("you i-d-i-o-t", "you i d i o t", "you IDIOT", "you 1d10t", "you idіоt", "you i​diot", "you id_iot", "you idiiiiot"):
         assert A.fold(s) == plain, s
-    assert A.fold("") == "  " and A.fold("n=2, 38 minutes").strip() == "n 0 0 minutes"
+    assert A.fold("") == " " and A.fold("n=2, 38 minutes").strip() == "n 0 0 minutes"
 
 
 def test_sentences():
@@ -77,3 +77,27 @@ def test_only_tags_are_taken_out():
         assert " ".join(A.sentences(s)) == s
     for s in ('<jats:p>', '</mml:mi>', '<a href="http://x.y/z" class=\'k\'>', "<br/>", "<TD colspan=2>", "&lt;", "&#39;"):
         assert A.sentences(f"One {s}two.") == ["One  two."], s
+
+
+def test_folding_letter_runs_digits_blanks():
+    text, n = A.letters(["aaab  bb,c 12 345", "", "ß Ĳ ...", "xx\n12"])
+    at = np.concatenate([[0], np.cumsum(n)])
+    assert [text[s:e].tobytes().decode() for s, e in zip(at[:-1], at[1:])] == [" ab bb c 0 0 ", " ", " ss ij ", " xx 0 "]
+
+
+def test_length_alone_adds_up_to_nothing():
+    texts, y = corpus(600, 1)
+    m = A.fit(texts, y)
+    long = [" ".join(CLEAN * 400), " ".join(CLEAN * 400) + " Only a stupid moron would write this."]
+    clean, bad = scores(m, long)
+    assert clean < A.THRESHOLD <= bad
+
+
+def test_labelled_documents_fit_the_bound_of_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 9)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, "r") for i in range(1, 11)] * 2, "doc_id bigint, toxic int, rater string")
+    texts, y = A.labelled(docs, labels)
+    assert len(texts) == len(y) == 8
+    texts, _ = A.labelled(docs, labels, chars=100)
+    assert 0 < sum(map(len, texts)) <= 100
+    assert len(A.labelled(docs, labels, most=3)[0]) <= 3 and A.labelled(docs.limit(0), labels)[0] == []
