@@ -2,7 +2,8 @@
 
 On a bounded sample the neighbour graph is computed exactly and cut into balanced parts; a small softmax classifier learns the
 part of a vector. Every vector of the collection is indexed under its most probable part, every query is routed to its several
-most probable parts, and what it finds there is reranked by exact cosine.
+most probable parts, and what it finds there is reranked by exact cosine. A part with too many members gets a sample, a graph
+and a classifier of its own, and so on, so the number of parts has no ceiling and no classifier more than ``FANOUT`` parts.
 """
 
 from __future__ import annotations
@@ -16,34 +17,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomwright.session import materialise, partitions
+from loomwright.session import materialise, partitions, sized_broadcast
 
-#: Vectors the partition is learned on; every vector is indexed.
-SAMPLE = 12_000
-#: Wanted vectors of the collection a part, and the greatest number of parts.
-PART_ROWS, MAX_PARTS = 2_000, 1_024
-#: Parts a query is routed to: the most probable ones, at least.
-PROBES = 8
-#: Rows of one side that a task compares at once.
-BLOCK = 4_096
+#: Vectors the first partition is learned on, and those of a part that is cut again; every vector is indexed.
+SAMPLE, PART_SAMPLE = 12_000, 4_000
+#: Wanted vectors of the collection a part, and the parts one classifier tells apart. A part is cut again from twice the rows on.
+PART_ROWS, FANOUT = 2_000, 256
+#: Levels of parts; what is still too large below is compared in blocks.
+LEVELS = 6
+#: A query goes to its most probable parts until they hold this share of the probability, to at least and at most so many.
+MASS, LEAST_PROBES, PROBES = 0.999, 2, 8
+#: Rows of one side that a task compares at once, and rows that are routed at once.
+BLOCK, ROUTED = 4_096, 50_000
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
 
 
-def usable(vectors: DataFrame, key: str, emb: str, dim: int) -> DataFrame:
-    """``row, vec``: one row per key with a vector of ``dim`` finite values that isn't all zero; the least of several vectors."""
-    v = F.col(emb).cast("array<double>")
-    fine = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col(key).isNotNull() & F.coalesce(fine, F.lit(False))).groupBy(F.col(key).alias("row")).agg(F.min(F.col(emb).cast("array<float>")).alias("vec"))
+def _pack(m: np.ndarray) -> pa.Array:
+    """Rows of floats as binaries whose order is the rows' lexicographic order."""
+    bits = np.ascontiguousarray(m, np.float32).view(np.uint32)
+    ordered = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(">u4")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * m.shape[1]), len(m), [None, pa.py_buffer(ordered.tobytes())]).cast(pa.binary())
+
+
+def _unpack(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The rows of :func:`_pack`."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), ">u4").astype(np.uint32)
+    return np.where(flat >> 31, flat & np.uint32(0x7FFFFFFF), ~flat).view(np.float32).reshape(-1, dim)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit rows of a list column."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+def _units(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def usable(vectors: DataFrame, key: str, emb: str, dim: int) -> DataFrame:
+    """``row, vec``: a packed row for each row with a key and a vector of ``dim`` finite values that isn't all zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            held = np.flatnonzero((np.asarray(lists.value_lengths().fill_null(-1)) == dim) & np.asarray(batch.column(0).is_valid()))
+            m = lists.take(pa.array(held)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            fine = np.isfinite(m).all(1) & (m != 0).any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held[fine])), _pack(m[fine])], ["row", "vec"])
+
+    return vectors.select(F.col(key).cast("bigint").alias("row"), F.col(emb).cast("array<float>").alias("vec")).mapInArrow(run, "row bigint, vec binary")
+
+
 @dataclass
 class Router:
     """A softmax classifier over unit vectors: part logits are ``x @ weights + bias``."""
@@ -51,12 +72,15 @@ class Router:
     weights: np.ndarray
     bias: np.ndarray
 
-    def parts(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` most probable parts of every row, most probable first."""
+    def parts(self, x: np.ndarray, most: int, least: int = LEAST_PROBES, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` most probable parts of every row, most probable first, and how many of them hold ``mass`` together."""
         z = x @ self.weights + self.bias
-        n = min(n, z.shape[1])
-        top = np.argpartition(-z, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1)
+        most = min(most, z.shape[1])
+        top = np.argpartition(-z, most - 1, axis=1)[:, :most]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        held = np.cumsum(np.take_along_axis(p, top, 1), axis=1) / p.sum(1, keepdims=True)
+        return top, np.clip((held < mass).sum(1) + 1, min(least, most), most)
 
 
 def balanced_parts(graph: np.ndarray, x: np.ndarray, n_parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -139,87 +163,142 @@ def learn_router(x: np.ndarray, n_parts: int, *, seed: int = 3, epochs: int = 30
     return Router(weights, bias)
 
 
-def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, least: float = 0.85, probes: int = PROBES, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+def _split(cells: DataFrame, big: DataFrame, dim: int, part_rows: int, probes: int, mass: float) -> DataFrame:
+    """``cells(part, own, row, vec)`` of the ``big(part, q, m)`` parts under parts of their own; the others as they are.
+
+    Each part's classifier is learned in one task from a sample of its members by hash. The cells meet it in pieces of
+    ``ROUTED`` rows, so no task holds a part.
+    """
+    spark = cells.sparkSession
+    big = sized_broadcast(big)
+    drawn = cells.filter("own").join(big, "part").filter(F.pmod(F.xxhash64("row", "part"), F.lit(1_000_000)) * F.col("m") < F.lit(PART_SAMPLE * 1_000_000))
+
+    def learn(key: tuple, t: pa.Table) -> pa.Table:
+        x = _units(_unpack(t["vec"], dim))
+        router = learn_router(x, min(FANOUT, -(-t["m"][0].as_py() // part_rows)))
+        return pa.table({"part": [key[0].as_py()], "weights": [router.weights.astype(np.float32).tobytes()], "bias": [router.bias.astype(np.float32).tobytes()]})
+
+    learned = drawn.select("part", "vec", "m").groupBy("part").applyInArrow(learn, "part bigint, weights binary, bias binary")
+    routers = materialise(learned)
+    pieces = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("m")) / F.lit(ROUTED))).cast("int")
+    asking = cells.join(big, "part").withColumn("piece", F.pmod(F.xxhash64("row"), pieces).cast("int")).select("part", "piece", "own", "row", "vec")
+    copies = routers.join(big, "part").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select("part", "piece", "weights", "bias")
+
+    def route(key: tuple, rows: pa.Table, learned: pa.Table) -> pa.Table:
+        own, vec = rows["own"].to_numpy(), _unpack(rows["vec"], dim)
+        part = key[0].as_py()
+        n = np.ones(len(own), np.int64)
+        top = np.zeros((len(own), 1), np.int64)
+        if learned.num_rows and len(learned["bias"][0].as_py()) > 4:
+            router = Router(np.frombuffer(learned["weights"][0].as_py(), np.float32).reshape(dim, -1), np.frombuffer(learned["bias"][0].as_py(), np.float32))
+            top, n = router.parts(_units(vec), probes, mass=mass)
+            child = part * FANOUT + 1 + top
+        else:
+            child = np.full(top.shape, -part)  # can't be told apart: final, compared in blocks
+        at = np.repeat(np.arange(len(own)), n)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        taken = rows.take(pa.array(at))
+        return pa.table({"part": pa.array(child[at, nth]), "own": pa.array(own[at] & (nth == 0)), "row": taken["row"], "vec": taken["vec"]})
+
+    schema = "part bigint, own boolean, row bigint, vec binary"
+    routed = asking.groupBy("part", "piece").cogroup(copies.groupBy("part", "piece")).applyInArrow(route, schema)
+    rest = cells.join(big.select("part"), "part", "left_anti").select("part", "own", "row", "vec")
+    return materialise(rest.unionByName(routed))
+
+
+def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, least: float = 0.85, probes: int = PROBES, mass: float = MASS, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """``row, other, cosine, rank``: for every usable vector its ``k`` most similar others of cosine at least ``least``.
 
     Equal cosines (to nine decimals) go to the smaller key. Defined cases: vectors that are null, not of ``dim`` values, with a
-    null or non-finite value, or of length zero take no part; a repeated key counts once; equal vectors under several keys are
-    compared once and handed back to every key, so a group of copies costs k rows a copy, not all pairs; an empty table gives
-    no row; other columns are ignored.
+    null or non-finite value, or of length zero take no part; a repeated key counts once, with the least of its vectors; equal
+    vectors under several keys are compared once and handed back to every key, so a group of copies costs k rows a copy, not all
+    pairs; an empty table gives no row; other columns are ignored.
 
-    Scale: ``sample`` vectors reach the driver. The collection is shuffled once under its part, queries once under each probed
-    part; a part with more than ``BLOCK`` rows on a side is cut into blocks that are all compared, so balance is a matter of
-    speed only. Copies of one vector are one row of the search.
+    Scale: ``sample`` vectors reach the driver. A vector is shuffled once for each part it is routed to, the first of which holds it
+    as a member, in packed single precision. Parts are cut until they have fewer than twice ``part_rows`` members. A part with more than ``BLOCK`` rows on a side is cut into blocks that are all
+    compared, so balance is a matter of speed only. Copies of one vector are one row of the search. The exact way: ``probes`` of at
+    least ``FANOUT`` with a ``mass`` above 1 sends every query to every part.
     """
     spark = vectors.sparkSession
-    fine = materialise(usable(vectors, key, emb, dim))
-    classes = materialise(fine.groupBy("vec").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")))
-    distinct = classes.select(F.col("rep").alias("row"), "vec")
-    shared = fine.join(classes.filter("n > 1"), "vec").select("row", "rep")
-    rows = materialise(shared.unionByName(classes.filter("n = 1").select(F.col("rep").alias("row"), "rep")))
-    n = distinct.count()
-    taken = distinct.orderBy(F.xxhash64("row")).limit(sample).select("vec").toArrow()["vec"] if n else None
-    n_parts = int(np.clip(-(-n // part_rows), 1, MAX_PARTS))
-    router = learn_router(_matrix(taken, dim), n_parts) if n else Router(np.zeros((dim, 1)), np.zeros(1))
-    n_parts = router.weights.shape[1]
-    sent = spark.sparkContext.broadcast(router)  # at most dim x MAX_PARTS numbers
+    packed = usable(vectors, key, emb, dim)
+    fine = packed.groupBy("row").agg(F.min("vec").alias("vec"))
+    # copies are told by 128 bits of hash; one of each group stands for it
+    hashes = materialise(fine.select("row", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g")))
+    groups = hashes.groupBy("h", "g").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
+    rows = materialise(
+        hashes.join(groups.filter("size > 1"), ["h", "g"]).select("row", "rep").unionByName(groups.filter("size = 1").select(F.col("rep").alias("row"), "rep"))
+    )
+    reps = rows.filter("row = rep").select("row")
+    n = reps.count()
+    if not n:
+        return spark.createDataFrame([], "row bigint, other bigint, cosine double, rank int")
+    taken = packed.orderBy(F.xxhash64("row"), "vec").limit(sample).select("vec").toArrow()["vec"]
+    first = learn_router(_units(_unpack(taken.unique(), dim)), min(FANOUT, -(-n // part_rows)))
+    sent = spark.sparkContext.broadcast(first)  # at most dim x FANOUT numbers
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 own = batch.slice(at, 2_000)
-                tops = sent.value.parts(_matrix(own.column(1), dim), probes)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(tops.astype(np.int32).ravel()), tops.shape[1]).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], ["row", "vec", "parts"])
-
-    routed = materialise(distinct.mapInArrow(route, "row bigint, vec array<float>, parts array<int>"))
-    load = {r["part"]: r for r in routed.select(F.posexplode("parts").alias("at", "part")).groupBy("part").agg(F.count(F.lit(1)).alias("q"), F.count(F.when(F.col("at") == 0, 1)).alias("m")).collect()}
-    # blocks of either side by part: at most MAX_PARTS entries
-    blocks = F.create_map(*[x for p, r in load.items() for x in (F.lit(p), F.struct(F.lit(-(-r["q"] // BLOCK)).alias("q"), F.lit(max(1, -(-r["m"] // BLOCK))).alias("m")))]) if load else F.lit(None).cast("map<int,struct<q:int,m:int>>")
-    digest = F.xxhash64("row")
-    copy = lambda own, other: F.transform(F.sequence(F.lit(0), F.col(f"b.{other}") - 1), lambda i: F.struct(F.pmod(digest, F.col(f"b.{own}")).cast("int").alias("own"), i.cast("int").alias("other")))
-    queries = routed.select("row", "vec", F.explode("parts").alias("part")).withColumn("b", blocks[F.col("part")]).withColumn("c", F.explode(copy("q", "m")))
-    members = routed.select("row", "vec", F.col("parts")[0].alias("part")).withColumn("b", blocks[F.col("part")]).withColumn("c", F.explode(copy("m", "q")))
-    # cell: (part, query block, member block)
-    q = queries.select("part", F.col("c.own").alias("qb"), F.col("c.other").alias("mb"), F.lit(True).alias("is_query"), "row", "vec")
-    m = members.select("part", F.col("c.other").alias("qb"), F.col("c.own").alias("mb"), F.lit(False).alias("is_query"), "row", "vec")
+                top, count = sent.value.parts(_units(_unpack(own.column(1), dim)), probes, mass=mass)
+                flat = (top + 1)[np.arange(top.shape[1]) < count[:, None]].astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "vec", "parts"])
+
+    routed = materialise(fine.join(reps, "row").select("row", "vec").mapInArrow(route, "row bigint, vec binary, parts array<bigint>"))
+    cells = routed.select(F.posexplode("parts").alias("at", "part"), "row", "vec").select("part", (F.col("at") == 0).alias("own"), "row", "vec")
+    for _ in range(LEVELS):
+        loads = cells.groupBy("part").agg(F.count(F.lit(1)).alias("q"), F.count(F.when(F.col("own"), 1)).alias("m"))
+        big = materialise(loads.filter((F.col("m") >= 2 * part_rows) & (F.col("part") > 0)))
+        if big.isEmpty():
+            break
+        cells = _split(cells, big, dim, part_rows, probes, mass)
+    # blocks: a part's queries are all its rows, its members those of their own part; one row a part with more than one block
+    several = F.ceil(F.col("q") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    wide = sized_broadcast(loads.select("part", several[0].alias("nq"), several[1].alias("nm")).filter("nq > 1"))
+    one, digest = F.lit(1), F.xxhash64("row")
+    sized = cells.join(wide, "part", "left").withColumns({"nq": F.coalesce("nq", one), "nm": F.coalesce("nm", one)})
+    qb, mb = F.pmod(digest, F.col("nq")).cast("int"), F.pmod(digest, F.col("nm")).cast("int")
+    asks = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(qb.alias("qb"), i.alias("mb"), F.lit(True).alias("asks"), ((i == mb) & F.col("own")).alias("own")))
+    # a member that asks in the same cell travels once
+    offers = F.when(F.col("own"), F.transform(F.filter(F.sequence(F.lit(0), F.col("nq") - 1), lambda i: i != qb), lambda i: F.struct(i.alias("qb"), mb.alias("mb"), F.lit(False).alias("asks"), F.lit(True).alias("own")))).otherwise(F.array())
+    placed = sized.select("part", "row", "vec", F.inline(F.concat(asks, offers)))
 
     def compare(t: pa.Table) -> pa.Table:
-        ask = t["is_query"].to_numpy()
         ids = t["row"].to_numpy()
-        x = _matrix(t["vec"], dim)
-        qi, mi = np.flatnonzero(ask), np.flatnonzero(~ask)
+        x = _units(_unpack(t["vec"], dim))
+        single = x.astype(np.float32)
+        qi, mi = np.flatnonzero(t["asks"].to_numpy()), np.flatnonzero(t["own"].to_numpy())
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         mi = mi[np.argsort(ids[mi], kind="stable")]
-        for s in range(0, len(qi), 512):
+        for s in range(0, len(qi) if len(mi) else 0, 512):
             own = qi[s : s + 512]
-            cos = np.round(x[own] @ x[mi].T, 9)
-            cos[ids[own][:, None] == ids[mi][None, :]] = -2
-            if cos.shape[1] > 2 * k:  # all that equal the k-th stay, so ties are settled later by key
-                cut = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
-                cos[cos < np.maximum(cut, least)[:, None]] = -2
-            a, b = np.nonzero(cos >= least)
+            rough = single[own] @ single[mi].T  # within 1e-5 of the cosines; what may count is worked out in double precision
+            cut = np.full(len(own), least - 1e-5)
+            if len(mi) > 2 * (k + 1):  # all that may equal the k-th stay, the query itself beside them
+                cut = np.maximum(cut, -np.partition(-rough, k, axis=1)[:, k] - 2e-5)
+            a, b = np.nonzero(rough >= cut[:, None])
+            apart = ids[own[a]] != ids[mi[b]]
+            a, b = a[apart], b[apart]
+            cos = np.round(np.einsum("ij,ij->i", x[own[a]], x[mi[b]]), 9)
+            fits = cos >= least
+            a, b, cos = a[fits], b[fits], cos[fits]
             if len(a):
                 # of each query the first k by cosine and key
-                order = np.lexsort((ids[mi[b]], -cos[a, b], a))
-                a, b = a[order], b[order]
+                order = np.lexsort((ids[mi[b]], -cos, a))
+                a, b, cos = a[order], b[order], cos[order]
                 first = np.arange(len(a)) - np.searchsorted(a, a) < k
-                a, b = a[first], b[first]
-                out.append((ids[own[a]], ids[mi[b]], cos[a, b]))
+                out.append((ids[own[a[first]]], ids[mi[b[first]]], cos[first]))
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"row": pa.array(cols[0]), "other": pa.array(cols[1]), "cosine": pa.array(cols[2])})
 
-    found = q.unionByName(m).repartition(max(partitions(spark), min(n_parts, 4 * partitions(spark))), "part", "qb", "mb").groupBy("part", "qb", "mb").applyInArrow(compare, "row bigint, other bigint, cosine double")
+    found = placed.groupBy("part", "qb", "mb").applyInArrow(compare, "row bigint, other bigint, cosine double")
     between = _first(found, "row", "other", k).select(F.col("row").alias("rep"), F.col("other").alias("near"), "cosine")
     # copies: the first k + 1 keys of a group stand for it as neighbours
-    heads = materialise(rows.select("rep", "row").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("row"))).filter(F.col("at") <= k + 1).select("rep", F.col("row").alias("other")))
-    candidates = materialise(
-        between.join(heads.withColumnRenamed("rep", "near"), "near").select("rep", "other", "cosine")
-        .unionByName(heads.select("rep", "other", F.lit(1.0).alias("cosine")))
-    )
+    heads = rows.select("rep", "row").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("row"))).filter(F.col("at") <= k + 1).select("rep", F.col("row").alias("other"))
+    candidates = between.join(heads.withColumnRenamed("rep", "near"), "near").select("rep", "other", "cosine").unionByName(heads.select("rep", "other", F.lit(1.0).alias("cosine")))
     # of each class the best k + 1: one of them may be the asking key itself
-    candidates = _first(candidates, "rep", "other", k + 1)
-    asked = rows.select("row", "rep").join(candidates, "rep").filter("row <> other").select("row", "other", "cosine")
+    asked = rows.select("row", "rep").join(_first(candidates, "rep", "other", k + 1), "rep").filter("row <> other").select("row", "other", "cosine")
     return _first(asked, "row", "other", k, "rank")
 
 

@@ -5,7 +5,7 @@ is the first gram two sets have in common: a set hangs under each gram at which
 tree branches by the sets' remaining lengths, and pairs of subtrees whose remaining lengths can't reach the overlap needed are
 pruned whole. The leaves are bursts: small containers of sets compared at once by 256-bit parity sketches, whose Hamming
 distance never exceeds the number of grams two sets differ in, so nothing that qualifies is lost. What is left is verified on
-the whole sets.
+the whole sets. README gives the figures of a tree that branches by the second common gram as well.
 """
 
 from __future__ import annotations
@@ -112,6 +112,7 @@ def _insert_kernel(rank_b, blocks_b):
                 r, k, pos, sizes = _ordered(batch.column(1), rank)
                 bits = _sketch(r, k, len(cids))
                 keep = _prefix(pos, sizes[r])
+                keep &= blocks[k] > 0  # a gram that is in one prefix only leads to nobody
                 r, k, pos = r[keep], k[keep], pos[keep]
                 nb = blocks[k]
                 own = (cids[r].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % nb
@@ -195,49 +196,68 @@ def _search(cid: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray
     return lo[apart], hi[apart]
 
 
+#: Sets under one gram up to which all short lists of a stretch of rows are compared together, and the rows of a stretch.
+SHORT, STRETCH = 48, 200_000
+
+
+def _short_lists(starts: np.ndarray, lengths: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of the short lists that their remaining lengths and sketches let through, for all lists at once."""
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    after = lengths[own] - 1 - place  # rows of the same list that follow
+    row = starts[own] + place
+    x = np.repeat(row, after)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+    reach = (5 * size - 8 * pos) // 3
+    fits = (reach[x] >= size[y]) & (reach[y] >= size[x])
+    x, y = x[fits], y[fits]
+    far = np.zeros(len(x), np.int64)
+    for w in range(bits.shape[1]):
+        far += np.bitwise_count(bits[x, w] ^ bits[y, w])
+    near = 4 * far <= size[x] + size[y]
+    return x[near], y[near]
+
+
 def _join_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams a partition sorted by (gram, cell); holds one cell, at most two blocks, at a time."""
-    seen: list[np.ndarray] = []
-    held: list[pa.RecordBatch] = []
-    last = None
+    """Streams a partition sorted by (gram, cell); holds a stretch of rows that ends with a cell, beyond it at most one cell."""
+    none = np.empty(0, np.int64)
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def matched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        if t.num_rows > 1:
-            cell = t["cell"][0].as_py()
-            data = t["sketch"].combine_chunks()
-            data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-            first = np.frombuffer(data.buffers()[1], np.int32)[data.offset]
-            bits = np.frombuffer(data.buffers()[2], np.uint8)[first : first + 32 * len(data)].reshape(-1, 32).copy().view(np.uint64)
-            cols = [t[c].to_numpy().astype(np.int64) for c in ("cid", "pos", "size")]
-            a, b = _search(*cols, bits, t["left"].to_numpy(), (cell >> 31) == (cell & ((1 << 31) - 1)))
-            if len(a):
-                seen.append(np.stack([a, b], 1))
-        if sum(map(len, seen)) > 200_000:
-            yield out()
-
-    def out() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(seen), axis=0)
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        gram, cell, cid, pos, size = (t[c].to_numpy().astype(np.int64) for c in ("gram", "cell", "cid", "pos", "size"))
+        left = t["left"].to_numpy()
+        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(cid), -1)
+        starts = np.concatenate([[0], np.flatnonzero((gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])) + 1])
+        lengths = np.diff(np.append(starts, len(cid)))
+        alone = (cell[starts] >> 31) == (cell[starts] & ((1 << 31) - 1))
+        short = alone & (lengths <= SHORT)
+        x, y = _short_lists(starts[short & (lengths > 1)], lengths[short & (lengths > 1)], pos, size, bits)
+        found = [(np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y]))]
+        for k in np.flatnonzero(~short):
+            s, e = starts[k], starts[k] + lengths[k]
+            found.append(_search(cid[s:e], pos[s:e], size[s:e], bits[s:e], left[s:e], alone[k]))
+        a, b = (np.concatenate(c) if c else none for c in zip(*found))
+        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram, cell = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        cuts = np.flatnonzero((gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])) + 1
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            key = (gram[s], cell[s])
-            if held and key != last:
-                yield from flush()
-                held.clear()
-            held.append(batch.slice(s, e - s))
-            last = key
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= STRETCH:
+            # the last cell may go on: it stays
+            last = held[-1]
+            gram, cell = np.asarray(last.column(0)), np.asarray(last.column(1))
+            cut = int(np.searchsorted((gram == gram[-1]) & (cell == cell[-1]), True))
+            if cut:
+                yield from matched([*held[:-1], last.slice(0, cut)])
+                held = [last.slice(cut)]
+                rows = last.num_rows - cut
     if held:
-        yield from flush()
-    if seen:
-        yield out()
+        yield from matched(held)
 
 
 def _verify_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +285,7 @@ def similar_strings(strings: DataFrame, key: str = "cid", text: str = "s") -> Da
     rank = np.empty(UNIVERSE, np.int64)
     rank[np.lexsort((np.arange(UNIVERSE), counts))] = np.arange(UNIVERSE)
     prefixes = _gram_counts(strings.select("s"), rank)
-    blocks = np.maximum(1, -(-prefixes // BLOCK))
+    blocks = np.where(prefixes > 1, -(-prefixes // BLOCK), 0)
     rows = int((prefixes * blocks).sum())
     width = max(partitions(spark), -(-rows // ROWS_A_PART))
     sc = spark.sparkContext

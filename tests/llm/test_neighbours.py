@@ -10,10 +10,12 @@ def brute(vectors, k, least):
     m = np.array([vectors[i] for i in keys], np.float32).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     s = np.round(m @ m.T, 9)
+    np.fill_diagonal(s, -9)
     out = set()
     for i, a in enumerate(keys):
-        near = sorted((-s[i, j], b) for j, b in enumerate(keys) if a != b)[:k]
-        out |= {(a, b) for c, b in near if -c >= least}
+        # keys are sorted, so a stable order settles ties by key
+        top = np.argsort(-s[i], kind="stable")[: min(k, len(keys) - 1)]
+        out |= {(a, keys[j]) for j in top if s[i, j] >= least}
     return out
 
 
@@ -52,7 +54,11 @@ def test_query_gives_every_vector_its_neighbours_below_the_floor_of_p6_found(spa
     from loomwright.llm.queries_records import TOP, p6_neighbours
     from loomwright.sources.tables import table
 
-    vectors = {r["row"]: r["vec"] for r in N.usable(table(spark, data, "paper_vector"), "emb_row", "emb", 96).collect()}
+    vectors = {}
+    for r in table(spark, data, "paper_vector").select("emb_row", "emb").collect():
+        v = r["emb"]
+        if r["emb_row"] is not None and v is not None and len(v) == 96 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            vectors[r["emb_row"]] = min(v, vectors.get(r["emb_row"], v))
     got = p6_neighbours(spark, data).collect()
     assert {(r["row"], r["other"]) for r in got} == brute(vectors, TOP, -1.0)
     assert len(got) == len(vectors) * min(TOP, len(vectors) - 1) and min(r["cosine"] for r in got) < 0.85
@@ -60,4 +66,29 @@ def test_query_gives_every_vector_its_neighbours_below_the_floor_of_p6_found(spa
 
 def test_every_part_probed_misses_no_low_neighbour(spark):
     vectors = clustered(600, 6)
-    assert run(spark, vectors.items(), k=5, least=-1.0, part_rows=60, sample=400, probes=N.MAX_PARTS) == brute(vectors, 5, -1.0)
+    assert run(spark, vectors.items(), k=5, least=-1.0, part_rows=60, sample=400, probes=N.FANOUT, mass=2.0) == brute(vectors, 5, -1.0)
+
+
+def test_parts_of_parts_are_exact_when_all_are_probed(spark, monkeypatch):
+    monkeypatch.setattr(N, "FANOUT", 4)
+    vectors = clustered(600, 7)
+    assert run(spark, vectors.items(), k=4, least=0.5, part_rows=15, sample=200, probes=4, mass=2.0) == brute(vectors, 4, 0.5)
+
+
+def test_recall_at_more_than_a_thousand_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "FANOUT", 32)
+    monkeypatch.setattr(N, "PART_SAMPLE", 300)
+    seen = []
+    split = N._split
+    monkeypatch.setattr(N, "_split", lambda *a: seen.append(split(*a)) or seen[-1])
+    vectors = clustered(4_500, 8)
+    got, want = run(spark, vectors.items(), k=5, least=0.85, part_rows=2, sample=2_000), brute(vectors, 5, 0.85)
+    assert seen and seen[-1].filter("own").select("part").distinct().count() > 1_000
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_packed_vectors_keep_values_and_order():
+    m = np.array([[-1.5, 2, 0, 0, 0, 0, 0, 0], [-1.5, -3, 1, 0, 0, 0, 0, 0], [0, 1e-30, 0, 0, 0, 0, 0, 7], [3, 0, 0, 0, 0, 0, 0, 0]], np.float32)
+    packed = N._pack(m)
+    assert (N._unpack(packed, 8) == m).all()
+    assert sorted(range(4), key=lambda i: packed[i].as_py()) == sorted(range(4), key=lambda i: m[i].tolist())
