@@ -52,7 +52,7 @@ def _gram(df: DataFrame, x: list[str], y: Column, w: Column) -> tuple[np.ndarray
 
 
 def _clustered(df: DataFrame, x: list[str], residual: Column, cluster: str | None, bread: np.ndarray) -> np.ndarray:
-    """Standard errors from scores summed by cluster (or by row: HC1 without its small-sample factor)."""
+    """Standard errors from scores summed by cluster with the factor g / (g - 1), or by row with n / (n - k) (HC1)."""
     score = [(residual * F.col(c)).alias(f"s_{i}") for i, c in enumerate(x)]
     scores = df.select(*([cluster] if cluster else []), *score)
     if cluster:
@@ -61,7 +61,8 @@ def _clustered(df: DataFrame, x: list[str], residual: Column, cluster: str | Non
     names = [f"s_{i}" for i in range(len(x))]
     meat, _ = _gram(scores, names, F.lit(0.0), F.lit(1.0))
     g = scores.count()
-    factor = g / (g - 1) if cluster and g > 1 else 1.0
+    least = 1 if cluster else len(x)
+    factor = g / (g - least) if g > least else 1.0
     return np.sqrt(np.diag(bread @ meat @ bread) * factor)
 
 
@@ -162,6 +163,69 @@ def permute_within(df: DataFrame, cell: str, key: str, value: str, seed: int) ->
     return here.join(drawn, here["cell"].eqNullSafe(drawn["_c"]) & (F.col("_r") == F.col("_d"))).select("key", "cell", "value", "permuted")
 
 
+def placebo(df: DataFrame, y: str, x: str, cell: str, key: str, *, draws: int = 200, at_once: int = 25, seed: int = 2026) -> DataFrame:
+    """One row ``coef, low, high, p, n_draws``: the slope of ``y`` on ``x`` with cell effects, and how it stands among the slopes after
+    the cells' x are dealt out again at random.
+
+    ``low`` and ``high`` bound the middle 95 % of the draws; p is two-sided, (1 + draws at least as far from 0) / (1 + draws). A
+    permutation within the cells keeps the cell means, so of each draw only the product sum with the demeaned y is new; ``at_once``
+    draws are dealt and summed in one job. Rows with a null y or x take no part; ``key`` is unique. Without variation of x the
+    slope and all that follows is null.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(cell).alias("cell"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna(subset=["y", "x"])
+    within = materialise(demean(rows, ["y", "x"], ["cell"]))
+    xy, xx = within.agg(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).first()
+    schema = "coef double, low double, high double, p double, n_draws int"
+    if not xx:
+        return df.sparkSession.createDataFrame([(None, None, None, None, 0)], schema)
+    slopes: list[float] = []
+    for first in range(0, draws, at_once):
+        dealt = within.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(draws, first + at_once) - 1))))
+        dealt = dealt.select(F.struct("draw", "key").alias("key"), F.struct("draw", "cell").alias("cell"), F.struct("x", "y").alias("value"))
+        mixed = permute_within(dealt, "cell", "key", "value", seed)
+        sums = mixed.groupBy(F.col("key.draw").alias("draw")).agg(F.sum(F.col("permuted.x") * F.col("value.y")).alias("s")).collect()  # `at_once` rows
+        slopes += [r["s"] / xx for r in sorted(sums, key=lambda r: r["draw"])]
+    coef, b = xy / xx, np.array(slopes)
+    low, high = np.quantile(b, [0.025, 0.975])
+    p = (1 + int((np.abs(b) >= abs(coef) - 1e-12).sum())) / (1 + len(b))
+    return df.sparkSession.createDataFrame([(float(coef), float(low), float(high), float(p), len(b))], schema)
+
+
+def pair_poisson(pairs: DataFrame, first: str, second: str, *, least: int = 30) -> DataFrame:
+    """One row ``coef, se, n_pairs, change``: a Poisson regression of the outcome on "is the second of its pair" with pair effects.
+
+    With pair effects the likelihood is that of the split of each pair's sum, so the coefficient is the log ratio of the sums; the
+    error is clustered by pair. Pairs with a null or with two zeros say nothing and are left out; with fewer than ``least`` pairs
+    there is no row; ``change`` is the relative change, exp(coef) - 1.
+    """
+    a, b = F.col(first).cast("double"), F.col(second).cast("double")
+    live = pairs.select(a.alias("a"), b.alias("b")).dropna().filter("a + b > 0")
+    share = live.agg((F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("q"), F.log(F.nullif(F.sum("b"), F.lit(0.0)) / F.nullif(F.sum("a"), F.lit(0.0))).alias("coef"))
+    n = F.col("a") + F.col("b")
+    score = F.col("b") - n * F.col("q")
+    s = live.crossJoin(F.broadcast(share)).agg(F.first("coef").alias("coef"), F.sum(score * score).alias("m"), F.sum(n * F.col("q") * (1 - F.col("q"))).alias("h"), F.count(F.lit(1)).alias("n_pairs"))  # one row
+    se = F.sqrt(F.col("m") * F.col("n_pairs") / F.greatest(F.col("n_pairs") - 1, F.lit(1))) / F.nullif(F.col("h"), F.lit(0.0))
+    return s.filter(F.col("n_pairs") >= least).select("coef", se.alias("se"), "n_pairs", F.expm1("coef").alias("change"))
+
+
+def event_effects(panel: DataFrame, *, base: int = 0) -> DataFrame:
+    """``rel, effect, se, n_groups`` of an event panel(grp, unit, treated, rel, value): how far the treated unit has moved since ``base``
+    beyond its controls, with unit and group-by-time effects, and errors clustered by group.
+
+    In each group the regression compares the treated unit with the mean of its controls, and weighs groups by n / (n + 1) for n
+    controls; groups without controls or without a treated unit have no say.
+    """
+    mean = lambda t: F.avg(F.when(F.col("treated") == t, F.col("value")))
+    own = panel.groupBy("grp", "rel").agg((mean(1) - mean(0)).alias("gap"), F.count(F.when(F.col("treated") == 0, 1)).alias("n")).dropna(subset=["gap"])
+    start = own.filter(F.col("rel") == base).select("grp", F.col("gap").alias("gap0"))
+    d = own.join(start, "grp").select("rel", "grp", (F.col("gap") - F.col("gap0")).alias("d"), (F.col("n") / (F.col("n") + 1)).alias("w"))
+    means = d.groupBy("rel").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("effect"))
+    s = (F.col("w") * (F.col("d") - F.col("effect"))) ** 2
+    g = F.count(F.lit(1))
+    se = F.sqrt(F.sum(s) * g / F.greatest(g - 1, F.lit(1))) / F.sum("w")
+    return d.join(means, "rel").groupBy("rel").agg(F.first("effect").alias("effect"), se.alias("se"), g.alias("n_groups"))
+
+
 def doubling_effect(coef: float) -> float:
     """Relative change of the outcome if a regressor in logs is doubled."""
     return 2**coef - 1

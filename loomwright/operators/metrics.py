@@ -127,6 +127,49 @@ def kendall(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
     return x.join(y, F.col("i") < F.col("j")).agg(F.avg(sign).alias("tau"))
 
 
+def evaluate(df: DataFrame, methods: dict[str, str], *, y: str, group: str, key: str) -> DataFrame:
+    """One row per method: ``method, n, male, rmsle, rho_sub, rho_all, ndcg10`` of the prediction columns ``methods`` (on the log1p scale).
+
+    rho_sub is the mean of the groups' Spearman correlations by size, ndcg10 the mean over the groups that can be ranked. Rows
+    with a null prediction or outcome are refused: a method is scored on all rows or not at all.
+    """
+    missing = df.agg(*[F.count(F.when(F.col(c).isNull() | F.col(y).isNull(), 1)).alias(m) for m, c in methods.items()]).first()
+    for m in methods:
+        if missing[m]:
+            raise ValueError(f"{missing[m]} rows without a prediction of {m} or an outcome")
+    out = None
+    for m, c in methods.items():
+        e = error_metrics(df, c, y).select("n", "male", "rmsle")
+        g = group_spearman(df, group, c, y).agg((F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("rho_sub"))
+        a = spearman(df, c, y).select(F.col("rho").alias("rho_all"))
+        d = group_ndcg(df, group, c, y, key).agg(F.avg("ndcg").alias("ndcg10"))
+        row = e.crossJoin(g).crossJoin(a).crossJoin(d).select(F.lit(m).alias("method"), "n", "male", "rmsle", "rho_sub", "rho_all", "ndcg10")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def compare(df: DataFrame, methods: dict[str, str], *, y: str, cluster: str, draws: int = 1_000, seed: int = 2026) -> DataFrame:
+    """``method_a, method_b, diff, low, high, n_groups``: differences in mean absolute log error of every two methods, with the intervals
+    of a paired bootstrap over whole clusters, the same draws for all."""
+    names = list(methods)
+    losses = df.select(cluster, *[F.abs(F.col(c) - F.log1p(y)).alias(m) for m, c in methods.items()])
+    out = None
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            row = bootstrap_difference(losses, cluster, a, b, draws, seed).select(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def reversals(results: DataFrame) -> DataFrame:
+    """Pairs of methods that two metrics rank the other way round, each beyond doubt: of results(metric, method_a, method_b, low, high),
+    where low and high bound a - b, the rows ``method_a, method_b, metric_1, metric_2`` with an interval above 0 by one metric and below 0
+    by the other."""
+    sure = results.select("metric", "method_a", "method_b", F.when(F.col("low") > 0, 1).when(F.col("high") < 0, -1).alias("side")).dropna()
+    x, y = (sure.select("method_a", "method_b", F.col("metric").alias(f"metric_{k}"), F.col("side").alias(f"side_{k}")) for k in (1, 2))
+    return x.join(y, ["method_a", "method_b"]).filter("metric_1 < metric_2 and side_1 <> side_2").select("method_a", "method_b", "metric_1", "metric_2")
+
+
 def bootstrap_difference(df: DataFrame, group: str, loss_a: str, loss_b: str, draws: int = 1_000, seed: int = 2026, most: int = 1_000_000) -> DataFrame:
     """One row ``diff, low, high, n_groups``: mean loss difference a - b and its 95 % interval, resampling whole groups.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +71,42 @@ def version_edges(cand: DataFrame, *, block: int = 5, years: int = 3, least: int
     return star("doi", "doi").unionByName(star("arxiv_id", "arxiv")).unionByName(titles)
 
 
+#: Links that one task joins up by itself.
+TASK_LINKS = 1_000_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every vertex of the partition's links, but the least of its group, linked with that least one."""
+    above: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (up := above.setdefault(v, v)) != v:
+            above[v] = above[up]
+            v = up
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = top(a), top(b)
+            above[max(x, y)] = min(x, y)
+    rows = [(v, t) for v in above if (t := top(v)) != v]
+    for k in range(0, len(rows), 100_000):
+        v, t = zip(*rows[k : k + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+
 def group_ids(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``member_id, comp``: groups of the records that edges link, by label propagation with pointer jumping; comp is the least id.
+    """``member_id, comp``: groups of the records that edges link; comp is the least id.
 
-    Every round a record takes the least label around it and then its label's label, so paths shorten by doubling; rounds are
-    checkpointed, and the driver sees only whether anything moved.
+    Each partition first joins its links up into stars. If all stars fit one task (``TASK_LINKS``) it joins them up too; else labels
+    are propagated over the stars with pointer jumping: every round a record takes the least label around it and then its label's
+    label, so paths shorten by doubling. Rounds are checkpointed, and the driver sees only whether anything moved.
     """
-    e = edges.select("a", "b").filter("a <> b")
+    links = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
+    e = materialise(links.mapInArrow(_joined_up, "a bigint, b bigint"))
+    if e.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        stars = e.coalesce(1).mapInArrow(_joined_up, "a bigint, b bigint")
+        return stars.select(F.col("b").alias("member_id"), F.col("a").alias("comp")).unionByName(stars.select(F.col("a").alias("member_id"), F.col("a").alias("comp")).distinct())
     both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("member_id")).agg(F.min("b").alias("m")).select("member_id", F.least("member_id", "m").alias("comp")))
     for _ in range(rounds):

@@ -232,11 +232,11 @@ def q_venue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "title_match",
-    f"""{WP}, k AS (SELECT id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM papers),
-x AS (SELECT min(doc_id) AS doc_id, trim(regexp_replace(lower(split_part(text, '. ', 1)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM documents WHERE section = 'title_abstract' GROUP BY 2) SELECT k.id, x.doc_id FROM k JOIN x ON x.w = k.w WHERE k.w <> ''""",
+    f"""{WP}, k AS (SELECT id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM papers WHERE lower(trim(type)) IS DISTINCT FROM 'preprint'),
+x AS (SELECT min(id) AS preprint_id, trim(regexp_replace(lower(coalesce(title_norm, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM work_detail WHERE lower(trim(type)) = 'preprint' AND id IS NOT NULL GROUP BY 2) SELECT k.id, x.preprint_id FROM k JOIN x ON x.w = k.w WHERE k.w <> ''""",
 )
 def q_title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Works whose title words equal those at the head of an outer text, the first text of each title."""
-    heads = table(spark, d, "documents").filter("section = 'title_abstract'").select("doc_id", title_words(F.substring_index("text", ". ", 1)).alias("w"))
-    outer = heads.filter("w <> ''").groupBy("w").agg(F.min("doc_id").alias("doc_id"))
-    return papers(spark, d).select("id", title_words("title").alias("w")).join(outer, "w").select("id", "doc_id")
+    """Works whose title words equal those of an outer list, here the normalised titles of preprint records, the first of each title."""
+    early = F.lower(F.trim("type")) == "preprint"
+    outer = table(spark, d, "work_detail").filter(early & F.col("id").isNotNull()).select("id", title_words("title_norm").alias("w")).filter("w <> ''").groupBy("w").agg(F.min("id").alias("preprint_id"))
+    return papers(spark, d).filter(~F.coalesce(early, F.lit(False))).select("id", title_words("title").alias("w")).join(outer, "w").select("id", "preprint_id")

@@ -53,6 +53,21 @@ def test_components_and_group_veto(spark):
     assert {r["comp"] for r in R.believed_groups(g).collect()} == {1, 20}
 
 
+def test_components_over_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    whole = {tuple(r) for r in R.group_ids(df).collect()}
+    monkeypatch.setattr(R, "TASK_LINKS", 3)
+    assert {tuple(r) for r in R.group_ids(df).collect()} == whole
+    label = {v: v for e in edges for v in e if e[0] != e[1]}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert whole == set(label.items())
+
+
 def test_date_precision(spark):
     rows = [(1, "2019-01-01", None, 2019), (2, "2019-01-01", "1905.12345", 2019), (3, "2020-05-05", None, 2019), (4, "2019-07-08", "1905.12345", 2019), (5, "bad", "1913.12345", 2019)]
     df = spark.createDataFrame(rows, "id int, publication_date string, arxiv_id string, year int")
