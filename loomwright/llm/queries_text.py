@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.abuse import THRESHOLD, score, train
-from loomwright.llm.mixing import mix, mix_report
+from loomwright.llm.mixing import mix, mix_report, plan, uses
 from loomwright.llm.queries import LLM
 from loomwright.llm.tokens import decode_corpus, encode_corpus
 from loomwright.session import materialise
@@ -34,14 +34,14 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Per source: what the mixture takes of it, and the shares and repeats really reached."""
     sized, targets = _sized(spark, d), table(spark, d, "mix_target")
-    return mix_report(materialise(mix(sized, targets)), sized, targets)
+    return mix_report(uses(sized, plan(sized, targets)), sized, targets)
 
 
 @LLM.query("p9_schedule")
 def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Every use of a document, in training order."""
-    uses = mix(_sized(spark, d), table(spark, d, "mix_target"))
-    return uses.select("doc_id", "source", "pass", "n_tokens", F.round("position", 9).alias("position"))
+    placed = mix(_sized(spark, d), table(spark, d, "mix_target"))
+    return placed.select("doc_id", "source", "pass", "n_tokens", F.round("position", 9).alias("position"))
 
 
 def _scored(spark: SparkSession, d: str, located: bool = False) -> DataFrame:
