@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomwright.functions.columns import overlap
 
@@ -88,6 +89,20 @@ def shared_references(pairs: DataFrame, refs: DataFrame, *, a: str, b: str, pape
     return wide.withColumn("jaccard", F.try_divide("shared", union)).select(*pairs.columns, "shared", "jaccard")
 
 
+def dense_ids(nodes: DataFrame, group: list[str], node: str, out: str, slices: int = 256) -> DataFrame:
+    """``nodes`` (distinct) with ``out``: their places from 0 in the order of ``node`` within their group.
+
+    Slices of the nodes' range are counted per group and numbered on their own, so no task numbers a whole group.
+    """
+    cuts = nodes.agg(F.percentile_approx(node, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
+    sliced = nodes.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(node)))).drop("_cuts")  # one row
+    counts = sliced.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    ahead = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # at most `slices` rows a group
+    starts = counts.select(*group, "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*group, "_b").orderBy(node))
+    return sliced.join(starts, [*group, "_b"]).withColumn(out, F.col("_start") + inside - 1).drop("_b", "_start")
+
+
 def export_lists(edges: DataFrame) -> DataFrame:
     """``id, refs, cites``: sorted neighbour lists of every node, for graph files."""
     out = edges.select(F.col("citing_id").alias("id"), F.col("cited_id").alias("r"), F.lit(None).cast("bigint").alias("c"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loomwright.registry import CORE, Registry
 
-MODULES = ("problems", "panels", "linking", "scoring", "similarity", "ingestion", "assembly", "evidence")
+MODULES = ("problems", "panels", "linking", "scoring", "similarity", "ingestion", "assembly", "evidence", "features")
 
 
 def load_core() -> Registry:

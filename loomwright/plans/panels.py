@@ -295,16 +295,20 @@ def q_drift(spark: SparkSession, d: str) -> DataFrame:
     return means.crossJoin(F.broadcast(train)).select("split", r6(F.try_divide(F.col("own") - F.col("m"), F.col("s"))).alias("z"))  # one row
 
 
+#: The columns of work_detail that have an order.
+SCALARS = tuple("id doi arxiv_id title title_norm type publication_date updated_date publication_year pt_topic source_id n_refs cited_by_count is_retracted is_paratext".split())
+
+
 @query(
     "column_stats",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM work_detail"
-        for c in ("id", "publication_year", "pt_topic", "n_refs", "cited_by_count", "updated_date")
+        for c in SCALARS
     ),
 )
 def q_column_stats(spark: SparkSession, d: str) -> DataFrame:
     """Null counts and extremes of columns in one pass."""
-    cols = ("id", "publication_year", "pt_topic", "n_refs", "cited_by_count", "updated_date")
+    cols = SCALARS
     aggs = [f(F.col(c)).alias(f"{c}_{k}") for c in cols for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     row = table(spark, d, "work_detail").agg(F.count(F.lit(1)).alias("n"), *aggs)
     stats = [F.struct(F.lit(c).alias("column_name"), F.col("n"), (F.col("n") - F.col(f"{c}_n")).alias("n_null"), F.col(f"{c}_lo").cast("string").alias("least"), F.col(f"{c}_hi").cast("string").alias("greatest")) for c in cols]
@@ -320,7 +324,7 @@ def q_candidates(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("id", "year", (F.col("year").between(2016, 2024) & enough).alias("is_sample"), (F.col("year").between(2017, 2021) & enough).alias("is_focal"))
 
 
-@query("sampled_rows")
+@query("sampled_rows", "SELECT id, title FROM work_detail ORDER BY md5(CAST(id AS VARCHAR) || ':7'), id LIMIT 100")
 def q_sampled(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of 100 records (a sampling operator): the least by hash, the same on every run."""
-    return table(spark, d, "work_detail").select("id", "title").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(100)
+    return table(spark, d, "work_detail").select("id", "title").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":7"))), "id").limit(100)
