@@ -26,7 +26,7 @@ PART_ROWS, FANOUT = 2_000, 256
 #: Levels of parts; what is still too large below is compared in blocks.
 LEVELS = 6
 #: A query goes to its most probable parts until they hold this share of the probability, to at least and at most so many.
-MASS, LEAST_PROBES, PROBES = 0.999, 2, 8
+MASS, LEAST_PROBES, PROBES = 0.85, 2, 8
 #: Rows of one side that a task compares at once, and rows that are routed at once.
 BLOCK, ROUTED = 4_096, 50_000
 #: Neighbours in the sample's graph.
