@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from loomwright.functions.columns import cosine, full_date
 from loomwright.operators import graph as G
-from loomwright.operators import models as L
 from loomwright.operators import panel as P
 from loomwright.operators import resolve as R
 from loomwright.operators import rivals as V
@@ -176,16 +175,6 @@ def q_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return first(refs, "reference", 100).unionByName(first(team, "author", 20)).unionByName(venue)
 
 
-@query("rival_tensor")
-def q_tensor(spark: SparkSession, d: str) -> DataFrame:
-    """Relation features of the fifty nearest earlier papers, as a padded array of rows in rank order."""
-    v = _dated(spark, d)
-    top = X.ranked(_pairs(v, k=50, back=2, ahead=0), 50)
-    f = V.with_ends(top, v, "r", "q", "m", ["year", "topic"])
-    f = f.withColumns({"dyear": F.col("year_m") - F.col("year_q"), "same_topic": F.coalesce((F.col("topic_q") == F.col("topic_m")).cast("int"), F.lit(0))})
-    return L.rival_tensor(f, "q", "rank", ["sim", "dyear", "same_topic"], 50)
-
-
 @query(
     "variant_supply",
     f"WITH {PAPERS_SQL}, s AS (SELECT topic, year, count(*) AS n, count(*) FILTER (WHERE lower(trim(type)) IN ('article', 'review')) AS n_variant FROM papers WHERE topic IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2) SELECT * FROM s",

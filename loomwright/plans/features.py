@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions.columns import full_date, overlap
 from loomwright.operators import econ as E
 from loomwright.operators import graph as G
+from loomwright.operators import models as L
 from loomwright.operators import panel as P
+from loomwright.operators import rivals as V
 from loomwright.operators import vector as X
 from loomwright.plans.assembly import q_coupled_prior, q_focal, q_snapshot, q_venue_at
-from loomwright.plans.base import EDGES_SQL, PAPERS_SQL, SCORED_SQL, edges, paper_year, papers, scored
+from loomwright.plans.base import EDGES_SQL, PANEL_SQL, PAPERS_SQL, SCORED_SQL, edges, paper_year, papers, scored
+from loomwright.plans.linking import COUPLING_SQL
 from loomwright.plans.panels import SUPPLY_SQL, _cohorts, _supply, q_reference_quality, q_team_history
-from loomwright.plans.similarity import BASE_SQL, _dated
+from loomwright.plans.similarity import BASE_SQL, PAIRS_SQL, _dated, _pairs
 from loomwright.registry import CORE, query
 from loomwright.session import materialise
 from loomwright.sources.tables import table
@@ -53,6 +57,49 @@ def q_features(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ref_found", "n_prior")})
 
 
+RIVALS_SQL = f"""{PAIRS_SQL}, {EDGES_SQL}, {PANEL_SQL}, {COUPLING_SQL}, near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, m) AS rank FROM pr WHERE ym - yq IN (-2, -1, 0)),
+cum AS (SELECT k.q, k.m, CAST(coalesce(sum(y.cites) FILTER (WHERE y.year <= k.yq), 0) AS BIGINT) AS rival_cum FROM near k LEFT JOIN py y ON y.id = k.mi WHERE rank <= 50 GROUP BY 1, 2)
+SELECT k.q, k.m, CAST(k.rank AS INT) AS rank, round(k.sim, 6) AS sim, ym - yq AS dyear, CASE WHEN pq <> 'year' AND pm <> 'year' THEN CAST(dq - dm AS INT) END AS ddays, coalesce(tq = tm, false) AS same_topic, same_team AS shared_auth, cum.rival_cum,
+  x.citing_id IS NOT NULL AS focal_cites, y.citing_id IS NOT NULL AS rival_cites, cp.a IS NOT NULL AS coupled, coalesce(p.n_refs, 0) AS rival_refs,
+  CASE WHEN p.pub <= yq AND p.kind <> 'preprint' THEN p.kind WHEN p.arxiv_id IS NOT NULL THEN 'arxiv' ELSE 'preprint_other' END AS rival_venue
+FROM near k JOIN cum USING (q, m) LEFT JOIN edges x ON x.citing_id = qi AND x.cited_id = mi LEFT JOIN edges y ON y.citing_id = mi AND y.cited_id = qi LEFT JOIN cp ON cp.a = least(qi, mi) AND cp.b = greatest(qi, mi)
+JOIN (SELECT *, lower(trim(type)) AS kind, CASE WHEN regexp_full_match(publication_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND publication_date >= '0001' THEN year(try_cast(publication_date AS DATE)) END AS pub FROM papers) p ON p.id = mi WHERE rank <= 50"""
+
+
+@query("rival_features", RIVALS_SQL)
+def q_rivals(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty most similar papers of the same and the two years before with all that relates them to the focal paper, as of its year."""
+    v = _dated(spark, d)
+    top = X.ranked(_pairs(v, k=50, back=2, ahead=0), 50)
+    f = materialise(V.with_ends(top, v, "r", "q", "m", ["id", "year", "date", "precision", "topic", "author_ids"]))
+    p = papers(spark, d)
+    panel = paper_year(p).select(F.col("id").alias("id_m"), F.col("year").alias("_y"), "cites")
+    cum = f.select("q", "m", "id_m", "year_q").join(panel, "id_m", "left").groupBy("q", "m").agg(F.coalesce(F.sum(F.when(F.col("_y") <= F.col("year_q"), F.col("cites"))), F.lit(0)).alias("rival_cum"))
+    s3 = G.coupling(table(spark, d, "paper_ref"), paper="paper_id", ref="ref", year="y").select("a", "b", F.lit(True).alias("_c"))
+    facts = p.select(F.col("id").alias("id_m"), F.coalesce("n_refs", F.lit(0)).alias("rival_refs"), F.lower(F.trim("type")).alias("kind"), F.col("arxiv_id"), F.year(full_date("publication_date")).alias("pub"))
+    wide = G.mutual_flags(f, edges(spark, d).select("citing_id", "cited_id"), "id_q", "id_m").join(cum, ["q", "m"]).join(facts, "id_m")
+    wide = wide.withColumns({"a": F.least("id_q", "id_m"), "b": F.greatest("id_q", "id_m")}).join(s3, ["a", "b"], "left")
+    no = F.lit(False)
+    days = F.when(V.precise("precision_q") & V.precise("precision_m"), F.datediff("date_q", "date_m"))
+    out = F.coalesce((F.col("pub") <= F.col("year_q")) & (F.col("kind") != "preprint"), no)
+    venue = F.when(out, F.col("kind")).when(F.col("arxiv_id").isNotNull(), "arxiv").otherwise("preprint_other")
+    return wide.select(
+        "q", "m", "rank", r6("sim").alias("sim"), (F.col("year_m") - F.col("year_q")).alias("dyear"), days.alias("ddays"), F.coalesce(F.col("topic_q") == F.col("topic_m"), no).alias("same_topic"),
+        overlap("author_ids_q", "author_ids_m").alias("shared_auth"), "rival_cum", F.col("a_cites_b").alias("focal_cites"), F.col("b_cites_a").alias("rival_cites"), F.coalesce("_c", no).alias("coupled"), "rival_refs", venue.alias("rival_venue"),
+    )
+
+
+@query("rival_tensor")
+def q_tensor(spark: SparkSession, d: str) -> DataFrame:
+    """The rivals' relation features as a padded array of rows in rank order, flags as 0 and 1, counts as logs, venues one-hot."""
+    f = q_rivals(spark, d)
+    venues = ("article", "book-chapter", "arxiv", "preprint_other")
+    flags = ("same_topic", "shared_auth", "focal_cites", "rival_cites", "coupled")
+    cols = {f"{c}_f": F.col(c).cast("int") for c in flags} | {f"venue_{i}": (F.col("rival_venue") == v).cast("int") for i, v in enumerate(venues)}
+    cols |= {"days_known": F.col("ddays").isNotNull().cast("int"), "years_ahead": F.coalesce("ddays", F.lit(0)) / 365, "log_cum": F.log1p("rival_cum"), "log_refs": F.log1p("rival_refs"), "log_rank": F.log("rank"), "same_year": (F.col("dyear") == 0).cast("int")}
+    return L.rival_tensor(f.withColumns(cols), "q", "rank", ["sim", "dyear", *cols], 50)
+
+
 NODES_SQL = CORE.sql["snapshot_edges"]
 NODES_SQL = f"e AS ({NODES_SQL}), nodes AS (SELECT DISTINCT year, kind, node FROM (SELECT year, 'paper' AS kind, src AS node FROM e UNION ALL SELECT year, CASE kind WHEN 'reference' THEN 'paper' ELSE kind END, dst FROM e))"
 
