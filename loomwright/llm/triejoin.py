@@ -226,7 +226,8 @@ def _join_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         gram, cell, cid, pos, size = (t[c].to_numpy().astype(np.int64) for c in ("gram", "cell", "cid", "pos", "size"))
         left = t["left"].to_numpy()
-        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(cid), -1)
+        sketch = pa.concat_arrays(t["sketch"].chunks).cast(pa.binary(32))
+        bits = np.frombuffer(sketch.buffers()[1], np.uint64)[4 * sketch.offset : 4 * (sketch.offset + len(sketch))].reshape(-1, 4)
         starts = np.concatenate([[0], np.flatnonzero((gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])) + 1])
         lengths = np.diff(np.append(starts, len(cid)))
         alone = (cell[starts] >> 31) == (cell[starts] & ((1 << 31) - 1))
@@ -237,8 +238,11 @@ def _join_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, e = starts[k], starts[k] + lengths[k]
             found.append(_search(cid[s:e], pos[s:e], size[s:e], bits[s:e], left[s:e], alone[k]))
         a, b = (np.concatenate(c) if c else none for c in zip(*found))
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
