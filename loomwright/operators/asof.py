@@ -6,6 +6,8 @@ and the best change so far is carried forward onto each event.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,6 +65,81 @@ def known_at(
     )
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """An attribute to look up for every event.
+
+    ``on`` pairs event columns with columns of ``log``; with ``each`` the first event column is the name given to the elements of that
+    array column, and the attribute is the greatest over the elements, where an element without a known row counts as ``default``.
+    ``order`` has one or two timestamps, as in :func:`known_at`; ``value`` is a string or a whole number.
+    """
+
+    name: str
+    log: DataFrame
+    on: list[tuple[str, str]]
+    order: list[str]
+    value: str
+    each: str | None = None
+    default: int | None = None
+
+    @property
+    def is_text(self) -> bool:
+        return dict(self.log.dtypes)[self.value] == "string"
+
+
+def known_together(events: DataFrame, lookups: list[Lookup], *, id: str, time: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``events`` (with a unique ``id``) and a column for every lookup: the value known at the event's ``time``.
+
+    All lookups are one union of events and changes, so whatever their number the logs are shuffled once, sorted once, and the
+    values come back to their events in one aggregate. Rules, ties and hot entities are those of :func:`known_at`.
+
+    Defined cases: an event with a null key or time has a null value, and for a lookup with ``each`` the default for every element
+    if the array has any; a null or empty array has a null value; repeated log rows change nothing; an empty log gives nulls and
+    defaults; other columns of the logs are ignored.
+    """
+    key = lambda cols: F.concat_ws("\x1f", *[c.cast("string") for c in cols])
+    asks, changes = [], None
+    for i, u in enumerate(lookups):
+        fixed = [F.col(e) for e, _ in u.on[(1 if u.each else 0) :]]
+        whole = F.lit(True)
+        for c in fixed:
+            whole = whole & c.isNotNull()
+        none = F.array().cast("array<struct<_i:int,_k:string>>")
+        one = lambda cols: F.struct(F.lit(i).alias("_i"), key(cols).alias("_k"))  # noqa: B023, E731
+        sent = F.transform(F.array_distinct(F.array_compact(u.each)), lambda x: one([x, *fixed])) if u.each else F.array(one(fixed))  # noqa: B023
+        asks.append(F.when(whole & F.col(u.each).isNotNull() if u.each else whole, sent).otherwise(none))
+        held = u.log.dropna(subset=list(dict.fromkeys([*[c for _, c in u.on], *u.order])))
+        times = [F.col(c).cast("timestamp_ntz") for c in u.order]
+        value = F.col(u.value)
+        state = F.struct(
+            times[0].alias("a"), (times[1] if len(times) > 1 else F.lit(None).cast("timestamp_ntz")).alias("b"),
+            (F.lit(None) if u.is_text else value).cast("bigint").alias("n"), (value if u.is_text else F.lit(None)).cast("string").alias("s"),
+        )
+        own = held.select(F.lit(i).alias("_i"), key([F.col(c) for _, c in u.on]).alias("_k"), (F.greatest(*times) if len(times) > 1 else times[0]).alias("_t"), state.alias("_s"))
+        changes = own if changes is None else changes.unionByName(own)
+    keys = ["_i", "_k"]
+    changes = changes.groupBy(*keys, "_t").agg(F.max("_s").alias("_s"))
+    asked = events.filter(F.col(time).isNotNull()).select(F.col(id).alias("_id"), F.col(time).cast("timestamp_ntz").alias("_t"), F.inline(F.concat(*asks)))
+    both = changes.withColumn("_p", F.lit(0)).unionByName(asked.withColumn("_p", F.lit(1)), allowMissingColumns=True)
+    hot = _hot_entities(both, keys, hot_rows)
+    carried = (_carry(both, keys) if hot is None else _carry_sliced(both, keys, hot)).filter(F.col("_p") == 1)
+    found = []
+    for i, u in enumerate(lookups):
+        value = F.col("_s.s") if u.is_text else F.col("_s.n")
+        if u.each and u.default is not None:
+            value = F.when(F.col("_s").isNull(), F.lit(u.default)).otherwise(value)
+        found.append(F.max(F.when(F.col("_i") == i, value)).alias(f"_v{i}"))
+    wide = events.join(carried.groupBy(F.col("_id").alias(id)).agg(*found), id, "left")
+    out = []
+    for i, u in enumerate(lookups):
+        v = F.col(f"_v{i}")
+        if u.each and u.default is not None:
+            unknown = F.col(time).isNull() | F.exists(u.each, lambda x: x.isNull())
+            v = F.when(F.size(u.each) > 0, F.greatest(v, F.when(unknown, F.lit(u.default).cast("bigint"))))
+        out.append(v.cast(dict(u.log.dtypes)[u.value]).alias(u.name))
+    return wide.select(*events.columns, *out)
+
+
 def _so_far(parts: list[str], order: list[str]) -> Column:
     return F.max("_s").over(W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
 

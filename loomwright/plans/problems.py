@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.operators.asof import known_at
+from loomwright.operators.asof import Lookup, known_together
 from loomwright.operators.hotkeys import distinct_per_key, heavy_keys
 from loomwright.operators.orphans import resolve_references
 from loomwright.registry import query
+from loomwright.session import materialise
 from loomwright.sources.tables import table
 
 KEYS_1 = ["paper_id", "pred_time", "topic", "first_public_year", "author_ids"]
@@ -17,28 +18,14 @@ KEYS_1 = ["paper_id", "pred_time", "topic", "first_public_year", "author_ids"]
 def _attributes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct prediction samples with stored values and the values right at their time (``right_*``)."""
     stored = ["venue_at_t", "auth_cites_max", "topic_supply_y"]
-    samples = table(spark, d, "pred_sample").select(*KEYS_1, *stored).distinct()
-
-    venue = known_at(samples, table(spark, d, "venue_log"), entity=[("paper_id", "paper_id")], time="pred_time", order=["valid_from", "known_at"], values=["venue_class"])
-    supply = known_at(
-        samples, table(spark, d, "topic_year"), entity=[("topic", "topic_id"), ("first_public_year", "year")], time="pred_time", order=["known_at"], values=["n_ai_dedup"]
-    )
-    teams = samples.select("author_ids", "pred_time").filter(F.size("author_ids") > 0).distinct()
-    members = teams.select("author_ids", "pred_time", F.explode("author_ids").alias("author"))
-    cites = known_at(members, table(spark, d, "author_log"), entity=[("author", "author_id")], time="pred_time", order=["valid_from", "known_at"], values=["cites_prior"])
-    best = (
-        members.join(cites, ["author", "pred_time"], "left")
-        .groupBy("author_ids", "pred_time")
-        .agg(F.max(F.when(F.col("known"), F.col("cites_prior")).otherwise(F.lit(0))).alias("right_auth"))
-        .withColumn("_seen", F.lit(True))
-    )
-    untimed = F.when(F.col("_seen").isNull() & (F.size("author_ids") > 0), F.lit(0))  # no time: no author has a row
-    return (
-        samples.join(venue.select("paper_id", "pred_time", F.col("venue_class").alias("right_venue")), ["paper_id", "pred_time"], "left")
-        .join(supply.select("topic", "first_public_year", "pred_time", F.col("n_ai_dedup").alias("right_supply")), ["topic", "first_public_year", "pred_time"], "left")
-        .join(best, ["author_ids", "pred_time"], "left")
-        .select(*KEYS_1, *stored, "right_venue", F.coalesce("right_auth", untimed).alias("right_auth"), "right_supply")
-    )
+    samples = materialise(table(spark, d, "pred_sample").select(*KEYS_1, *stored).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    bitemporal = ["valid_from", "known_at"]
+    lookups = [
+        Lookup("right_venue", table(spark, d, "venue_log"), [("paper_id", "paper_id")], bitemporal, "venue_class"),
+        Lookup("right_auth", table(spark, d, "author_log"), [("author", "author_id")], bitemporal, "cites_prior", each="author_ids", default=0),
+        Lookup("right_supply", table(spark, d, "topic_year"), [("topic", "topic_id"), ("first_public_year", "year")], ["known_at"], "n_ai_dedup"),
+    ]
+    return known_together(samples, lookups, id="_id", time="pred_time").drop("_id")
 
 
 SQL_1 = """
