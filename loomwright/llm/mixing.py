@@ -104,7 +104,7 @@ def uses(sized: DataFrame, shares: list[Share], *, seed: int = 0) -> DataFrame:
     rows = []
     for s in shares:
         if s.take > 0:
-            times, weights = [t for t, _ in s.knots], [w for _, w in s.knots]
+            times, weights = [float(t) for t, _ in s.knots], [float(w) for _, w in s.knots]
             steps = [(w + v) / 2 * (u - t) for t, u, w, v in zip(times, times[1:], weights, weights[1:])]
             area = sum(steps)
             demand = [sum(steps[:i]) / area for i in range(len(steps))]

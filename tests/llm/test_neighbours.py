@@ -81,8 +81,8 @@ def test_recall_at_more_than_a_thousand_parts(spark, monkeypatch):
     seen = []
     split = N._split
     monkeypatch.setattr(N, "_split", lambda *a: seen.append(split(*a)) or seen[-1])
-    vectors = clustered(4_500, 8)
-    got, want = run(spark, vectors.items(), k=5, least=0.85, part_rows=2, sample=2_000), brute(vectors, 5, 0.85)
+    vectors = clustered(6_000, 8)
+    got, want = run(spark, vectors.items(), k=5, least=0.85, part_rows=3, sample=2_000), brute(vectors, 5, 0.85)
     assert seen and seen[-1].filter("own").select("part").distinct().count() > 1_000
     assert len(got & want) >= 0.95 * len(want)
 
