@@ -9,8 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast by :func:`sized_broadcast` only up to this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast by :func:`sized_broadcast` only up to this many rows, and characters of its rows as JSON.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64_000_000
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -53,13 +53,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else ``df`` for a shuffled join.
+def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows of at most ``chars`` characters together, else ``df``
+    for a shuffled join.
 
     ``df`` is materialised first, so the count and the join see the same rows.
     """
     df = materialise(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= rows and held <= chars else df
 
 
 def partitions(spark: SparkSession) -> int:
