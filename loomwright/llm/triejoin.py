@@ -197,7 +197,7 @@ def _search(cid: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray
 
 
 #: Sets under one gram up to which all short lists of a stretch of rows are compared together, and the rows of a stretch.
-SHORT, STRETCH = 48, 200_000
+SHORT, STRETCH = 32, 50_000
 
 
 def _short_lists(starts: np.ndarray, lengths: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
