@@ -64,3 +64,18 @@ def test_titles_nulls_ties_long_empty(spark):
     assert {(r["a"], r["b"]) for r in T.similar_strings(classes).collect()} == {(6, 7)}
     members, classes = T.title_classes(df.limit(0), "id", "title")
     assert members.count() == 0 and T.similar_strings(classes).count() == 0
+
+
+def test_tree_in_turns_leaves_no_shuffle_behind(spark, monkeypatch):
+    monkeypatch.setattr(T, "ROWS_A_STRING", 2)
+    monkeypatch.setattr(T, "ROWS_A_TURN", 50)
+    rows = texts(150, 3)
+    made = []
+    monkeypatch.setattr(T, "_insert_kernel", lambda *a, f=T._insert_kernel: made.append(a[1:]) or f(*a))
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    strings = spark.createDataFrame(rows, "cid bigint, s string")
+    before = shuffles.size()
+    pairs = T.similar_strings(strings)
+    assert len(made) > 3 and all(a[1] == b[0] for a, b in zip(made, made[1:]))
+    assert {(r["a"], r["b"]) for r in pairs.select("a", "b").collect()} == brute(rows)
+    assert shuffles.size() - before <= 4  # the counts' own, not one for each turn
