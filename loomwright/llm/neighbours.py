@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomwright.session import materialise, partitions, sized_broadcast
+from loomwright.session import materialise, release, sized_broadcast
 
 #: Vectors the first partition is learned on, and those of a part that is cut again; every vector is indexed.
 SAMPLE, PART_SAMPLE = 12_000, 4_000
@@ -27,8 +28,10 @@ PART_ROWS, FANOUT = 2_000, 256
 LEVELS = 6
 #: A query goes to its most probable parts until they hold this share of the probability, to at least and at most so many.
 MASS, LEAST_PROBES, PROBES = 0.85, 2, 8
-#: Rows of one side that a task compares at once, and rows that are routed at once.
-BLOCK, ROUTED = 4_096, 50_000
+#: Rows of one side that a task compares at once, and bytes of routers that are sent at once.
+BLOCK, ROUTERS = 4_096, 64_000_000
+#: Rows sent to parts that are no matter for a turn of their own; beyond them a turn sends about one copy of every vector.
+ROWS_A_TURN = 100_000
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
 
@@ -46,6 +49,23 @@ def _unpack(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.where(flat >> 31, flat & np.uint32(0x7FFFFFFF), ~flat).view(np.float32).reshape(-1, dim)
 
 
+def _shrink(m: np.ndarray) -> pa.Array:
+    """Rows of floats as binaries, of two bytes a value where all of a row's values are half floats."""
+    with np.errstate(over="ignore"):
+        half = m.astype(np.float16)
+    exact = (half == m).all(1)
+    return pa.array([h.tobytes() if e else x.tobytes() for h, x, e in zip(half, m.astype(np.float32), exact)], pa.binary())
+
+
+def _load(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The rows of :func:`_shrink`."""
+    held = column.to_pylist()
+    out, short = np.empty((len(held), dim), np.float32), np.array([len(b) == 2 * dim for b in held], bool)
+    for kind, at in ((np.float16, np.flatnonzero(short)), (np.float32, np.flatnonzero(~short))):
+        out[at] = np.frombuffer(b"".join([held[i] for i in at]), kind).reshape(-1, dim)
+    return out
+
+
 def _units(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -163,47 +183,68 @@ def learn_router(x: np.ndarray, n_parts: int, *, seed: int = 3, epochs: int = 30
     return Router(weights, bias)
 
 
-def _split(cells: DataFrame, big: DataFrame, dim: int, part_rows: int, probes: int, mass: float) -> DataFrame:
-    """``cells(part, own, row, vec)`` of the ``big(part, q, m)`` parts under parts of their own; the others as they are.
+def _split(routed: DataFrame, big: DataFrame, dim: int, part_rows: int, probes: int, mass: float) -> DataFrame:
+    """``routed(row, vec, parts)`` with parts of their own in place of the ``big(part, m)`` ones; the first part stays the row's own,
+    and is there as ``part`` as well, with ``own`` as in the cells.
 
-    Each part's classifier is learned in one task from a sample of its members by hash. The cells meet it in pieces of
-    ``ROUTED`` rows, so no task holds a part.
+    Each part's classifier is learned in one task from a sample of its members by hash. The classifiers are sent to the rows, at
+    most ``ROUTERS`` bytes of them at a time, so the vectors stay where they are.
     """
-    spark = cells.sparkSession
+    spark = routed.sparkSession
     big = sized_broadcast(big)
-    drawn = cells.filter("own").join(big, "part").filter(F.pmod(F.xxhash64("row", "part"), F.lit(1_000_000)) * F.col("m") < F.lit(PART_SAMPLE * 1_000_000))
+    drawn = routed.select(F.col("parts")[0].alias("part"), "row", "vec").join(big, "part").filter(F.pmod(F.xxhash64("row", "part"), F.lit(1_000_000)) * F.col("m") < F.lit(PART_SAMPLE * 1_000_000))
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
-        x = _units(_unpack(t["vec"], dim))
+        x = _units(_load(t["vec"], dim))
         router = learn_router(x, min(FANOUT, -(-t["m"][0].as_py() // part_rows)))
         return pa.table({"part": [key[0].as_py()], "weights": [router.weights.astype(np.float32).tobytes()], "bias": [router.bias.astype(np.float32).tobytes()]})
 
     learned = drawn.select("part", "vec", "m").groupBy("part").applyInArrow(learn, "part bigint, weights binary, bias binary")
-    routers = materialise(learned)
-    pieces = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("m")) / F.lit(ROUTED))).cast("int")
-    asking = cells.join(big, "part").withColumn("piece", F.pmod(F.xxhash64("row"), pieces).cast("int")).select("part", "piece", "own", "row", "vec")
-    copies = routers.join(big, "part").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select("part", "piece", "weights", "bias")
-
-    def route(key: tuple, rows: pa.Table, learned: pa.Table) -> pa.Table:
-        own, vec = rows["own"].to_numpy(), _unpack(rows["vec"], dim)
-        part = key[0].as_py()
-        n = np.ones(len(own), np.int64)
-        top = np.zeros((len(own), 1), np.int64)
-        if learned.num_rows and len(learned["bias"][0].as_py()) > 4:
-            router = Router(np.frombuffer(learned["weights"][0].as_py(), np.float32).reshape(dim, -1), np.frombuffer(learned["bias"][0].as_py(), np.float32))
-            top, n = router.parts(_units(vec), probes, mass=mass)
-            child = part * FANOUT + 1 + top
-        else:
-            child = np.full(top.shape, -part)  # can't be told apart: final, compared in blocks
-        at = np.repeat(np.arange(len(own)), n)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        taken = rows.take(pa.array(at))
-        return pa.table({"part": pa.array(child[at, nth]), "own": pa.array(own[at] & (nth == 0)), "row": taken["row"], "vec": taken["vec"]})
-
-    schema = "part bigint, own boolean, row bigint, vec binary"
-    routed = asking.groupBy("part", "piece").cogroup(copies.groupBy("part", "piece")).applyInArrow(route, schema)
-    rest = cells.join(big.select("part"), "part", "left_anti").select("part", "own", "row", "vec")
-    return materialise(rest.unionByName(routed))
+    routers = materialise(big.select("part").join(learned, "part", "left"))
+    sizes = routers.select("part", F.coalesce(F.length("weights"), F.lit(0)).alias("n")).orderBy("part").collect()  # two numbers a big part
+    pieces, held = [[]], 0
+    for r in sizes:
+        if held and held + r["n"] > ROUTERS:
+            pieces.append([])
+            held = 0
+        pieces[-1].append(r["part"])
+        held += r["n"]
+    for piece in pieces:
+        known = {}
+        for r in routers.filter(F.col("part").between(piece[0], piece[-1])).collect():
+            # a part that can't be told apart has no router: it is final, compared in blocks
+            apart = r["weights"] is not None and len(r["bias"]) > 4
+            known[r["part"]] = Router(np.frombuffer(r["weights"], np.float32).reshape(dim, -1), np.frombuffer(r["bias"], np.float32)) if apart else None
+        sent = spark.sparkContext.broadcast(known)
+
+        def route(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2_000):
+                    batch = whole.slice(at, 2_000)
+                    lists = batch.column(2)
+                    ends, flat = np.asarray(lists.offsets).astype(np.int64), lists.flatten().to_numpy()
+                    ends = ends - ends[0]
+                    x = _units(_load(batch.column(1), dim))
+                    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                    into, count = {}, np.ones(len(flat), np.int64)
+                    for part in np.unique(flat):
+                        if part in sent.value:
+                            own = np.flatnonzero(flat == part)
+                            router = sent.value[part]
+                            top, n = router.parts(x[owner[own]], probes, mass=mass) if router else (None, np.ones(len(own), np.int64))
+                            into[part], count[own] = (own, top, n), n
+                    start = np.cumsum(count) - count
+                    out = np.repeat(flat, count)
+                    for part, (own, top, n) in into.items():
+                        row = np.repeat(np.arange(len(own)), n)
+                        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                        out[start[own][row] + nth] = -part if top is None else part * FANOUT + 1 + top[row, nth]
+                    bounds = np.concatenate([[0], np.cumsum(count)])[ends].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(out))], ["row", "vec", "parts"])
+
+        before, routed = routed, materialise(routed.select("row", "vec", "parts").mapInArrow(route, "row bigint, vec binary, parts array<bigint>"))
+        release(before)
+    return routed.withColumns({"part": F.col("parts")[0], "own": F.lit(True)})
 
 
 def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, least: float = 0.85, probes: int = PROBES, mass: float = MASS, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
@@ -214,16 +255,26 @@ def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, lea
     vectors under several keys are compared once and handed back to every key, so a group of copies costs k rows a copy, not all
     pairs; an empty table gives no row; other columns are ignored.
 
-    Scale: ``sample`` vectors reach the driver. A vector is shuffled once for each part it is routed to, the first of which holds it
-    as a member, in packed single precision. Parts are cut until they have fewer than twice ``part_rows`` members. A part with more than ``BLOCK`` rows on a side is cut into blocks that are all
+    Scale: ``sample`` vectors reach the driver. A vector is kept once, with the list of the parts it is routed to, the first of which
+    holds it as a member, and is shuffled once for each of them, in half precision where that is exact. The cells are compared in turns
+    of about one copy of every vector, whose shuffle files go before the next. Parts are cut until they have fewer than twice ``part_rows`` members. A part with more than ``BLOCK`` rows on a side is cut into blocks that are all
     compared, so balance is a matter of speed only. Copies of one vector are one row of the search. The exact way: ``probes`` of at
     least ``FANOUT`` with a ``mass`` above 1 sends every query to every part.
     """
     spark = vectors.sparkSession
     packed = usable(vectors, key, emb, dim)
     fine = packed.groupBy("row").agg(F.min("vec").alias("vec"))
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                own = batch.slice(at, 2_000)
+                yield pa.RecordBatch.from_arrays([own.column(0), _shrink(_unpack(own.column(1), dim)), own.column(2), own.column(3)], ["row", "vec", "h", "g"])
+
     # copies are told by 128 bits of hash; one of each group stands for it
-    hashes = materialise(fine.select("row", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g")))
+    fine = fine.select("row", "vec", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g"))
+    fine = materialise(fine.mapInArrow(shrink, "row bigint, vec binary, h bigint, g bigint"))
+    hashes = fine.select("row", "h", "g")
     groups = hashes.groupBy("h", "g").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     rows = materialise(
         hashes.join(groups.filter("size > 1"), ["h", "g"]).select("row", "rep").unionByName(groups.filter("size = 1").select(F.col("rep").alias("row"), "rep"))
@@ -240,19 +291,20 @@ def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, lea
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 own = batch.slice(at, 2_000)
-                top, count = sent.value.parts(_units(_unpack(own.column(1), dim)), probes, mass=mass)
+                top, count = sent.value.parts(_units(_load(own.column(1), dim)), probes, mass=mass)
                 flat = (top + 1)[np.arange(top.shape[1]) < count[:, None]].astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "vec", "parts"])
 
     routed = materialise(fine.join(reps, "row").select("row", "vec").mapInArrow(route, "row bigint, vec binary, parts array<bigint>"))
-    cells = routed.select(F.posexplode("parts").alias("at", "part"), "row", "vec").select("part", (F.col("at") == 0).alias("own"), "row", "vec")
-    for _ in range(LEVELS):
-        loads = cells.groupBy("part").agg(F.count(F.lit(1)).alias("q"), F.count(F.when(F.col("own"), 1)).alias("m"))
-        big = materialise(loads.filter((F.col("m") >= 2 * part_rows) & (F.col("part") > 0)))
-        if big.isEmpty():
+    release(fine)
+    for level in range(LEVELS + 1):
+        cells = routed.select(F.posexplode("parts").alias("at", "part"), "row", "vec").select("part", (F.col("at") == 0).alias("own"), "row", "vec")
+        loads = materialise(cells.groupBy("part").agg(F.count(F.lit(1)).alias("q"), F.count(F.when(F.col("own"), 1)).alias("m")))
+        big = loads.filter((F.col("m") >= 2 * part_rows) & (F.col("part") > 0)).select("part", "m")
+        if level == LEVELS or big.isEmpty():
             break
-        cells = _split(cells, big, dim, part_rows, probes, mass)
+        routed = _split(routed, big, dim, part_rows, probes, mass)
     # blocks: a part's queries are all its rows, its members those of their own part; one row a part with more than one block
     several = F.ceil(F.col("q") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     wide = sized_broadcast(loads.select("part", several[0].alias("nq"), several[1].alias("nm")).filter("nq > 1"))
@@ -266,7 +318,7 @@ def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, lea
 
     def compare(t: pa.Table) -> pa.Table:
         ids = t["row"].to_numpy()
-        x = _units(_unpack(t["vec"], dim))
+        x = _units(_load(t["vec"], dim))
         single = x.astype(np.float32)
         qi, mi = np.flatnonzero(t["asks"].to_numpy()), np.flatnonzero(t["own"].to_numpy())
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -292,8 +344,15 @@ def nearest(vectors: DataFrame, *, key: str, emb: str, dim: int, k: int = 5, lea
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"row": pa.array(cols[0]), "other": pa.array(cols[1]), "cosine": pa.array(cols[2])})
 
-    found = placed.groupBy("part", "qb", "mb").applyInArrow(compare, "row bigint, other bigint, cosine double")
-    between = _first(found, "row", "other", k).select(F.col("row").alias("rep"), F.col("other").alias("near"), "cosine")
+    sends = loads.agg(F.sum(F.col("q") * several[1])).first()[0]
+    turns = max(1, min(-(-sends // n), -(-sends // ROWS_A_TURN)))
+    found = []
+    for t in range(turns):
+        now = placed.filter(F.pmod(F.xxhash64("part", "qb", "mb"), F.lit(turns)) == t) if turns > 1 else placed
+        found.append(materialise(_first(now.groupBy("part", "qb", "mb").applyInArrow(compare, "row bigint, other bigint, cosine double"), "row", "other", k)))
+    best = materialise(_first(reduce(DataFrame.unionByName, found), "row", "other", k))
+    release(*found)
+    between = best.select(F.col("row").alias("rep"), F.col("other").alias("near"), "cosine")
     # copies: the first k + 1 keys of a group stand for it as neighbours
     heads = rows.select("rep", "row").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("row"))).filter(F.col("at") <= k + 1).select("rep", F.col("row").alias("other"))
     candidates = between.join(heads.withColumnRenamed("rep", "near"), "near").select("rep", "other", "cosine").unionByName(heads.select("rep", "other", F.lit(1.0).alias("cosine")))

@@ -92,3 +92,15 @@ def test_packed_vectors_keep_values_and_order():
     packed = N._pack(m)
     assert (N._unpack(packed, 8) == m).all()
     assert sorted(range(4), key=lambda i: packed[i].as_py()) == sorted(range(4), key=lambda i: m[i].tolist())
+
+
+def test_turns_and_half_floats_change_nothing(spark, monkeypatch):
+    m = np.array([[0.5, -1.25, 0, 3, 0, 0, 0, 0], [0.1, 1e-30, 1e30, 7, 0, 0, 0, 1]], np.float32)
+    short = N._shrink(m)
+    assert [len(x.as_py()) for x in short] == [16, 32] and (N._load(short, 8) == m).all()
+    monkeypatch.setattr(N, "ROWS_A_TURN", 40)
+    turns = []
+    monkeypatch.setattr(N, "_first", lambda *a, f=N._first: turns.append(a[1]) or f(*a))
+    vectors = clustered(300, 9)
+    assert run(spark, vectors.items(), k=5, least=-1.0, part_rows=60, sample=400, probes=N.FANOUT, mass=2.0) == brute(vectors, 5, -1.0)
+    assert turns.count("row") > 4
