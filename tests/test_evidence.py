@@ -131,3 +131,26 @@ def test_entity_files(spark, tmp_path):
 def test_venue_classes(spark):
     df = spark.createDataFrame([(v,) for v in ("Journal of X", "arXiv (Cornell)", "Y eBooks", "book series", "preprint_other", "Z", None)], "v string")
     assert [r["kind"] for r in R.venue_classes(df, "v").collect()] == ["journal", "arxiv", "ebook", "book series", "repository", "none", "none"]
+
+
+def test_poisson_with_one_effect_keeps_no_state_between_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    g, c, v = rng.integers(0, 6, 240), rng.integers(0, 12, 240), rng.integers(0, 5, 240).astype(float)
+    y = rng.poisson(np.exp(0.4 * v + 0.2 * g)) * (g > 0)
+    df = spark.createDataFrame([(int(a), int(b), float(t), float(t > 9), float(n)) for a, b, t, n in zip(g, c, v, y)] + [(1, 1, None, 0.0, 3.0)], "g int, c int, v double, flat double, y double")
+    made = []
+    monkeypatch.setattr(E, "materialise", lambda d, f=E.materialise: made.append(d) or f(d))
+    got = {r["term"]: (r["coef"], r["se"]) for r in E.fe_poisson(df, "y", ["v", "flat"], ["g"], "c").collect()}
+    assert len(made) == 2  # the rows, and their sums
+    live = g > 0
+    d = np.column_stack([v[live], *[(g[live] == k).astype(float) for k in range(1, 6)]])
+    beta = np.zeros(6)
+    beta[1:] = 1
+    for _ in range(60):
+        mu = np.exp(d @ beta)
+        beta += np.linalg.solve(d.T @ (mu[:, None] * d), d.T @ (y[live] - mu))
+    bread, e = np.linalg.inv(d.T @ (np.exp(d @ beta)[:, None] * d)), d * (y[live] - np.exp(d @ beta))[:, None]
+    scores = np.array([e[c[live] == k].sum(0) for k in np.unique(c[live])])
+    se = np.sqrt((bread @ scores.T @ scores @ bread)[0, 0] * len(scores) / (len(scores) - 1))
+    assert got["v"][0] == pytest.approx(beta[0], abs=1e-7) and got["v"][1] == pytest.approx(se, rel=1e-6) and got["flat"] == (0.0, 0.0)
+    assert E.fe_poisson(df.withColumn("y", F.lit(0.0)), "y", ["v"], ["g"], "c").count() == 0
