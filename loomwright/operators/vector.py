@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -97,21 +97,31 @@ def threshold_counts(pairs: DataFrame, thresholds: list[float], sides: dict[str,
     return spread.groupBy("q", "tau").agg(*[F.sum(n).alias(n) for n in sides])
 
 
-def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 2 * BLOCK, step: int = 20_000) -> DataFrame:
+def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 2 * BLOCK, step: int = 20_000, asks: Column | None = None) -> DataFrame:
     """``same, n, values``: exact quantiles (interpolated) of the cosines of all ordered pairs of rows, apart for pairs of equal and of other ``label``.
 
-    A null label equals none. Cosines are whole numbers of 1e-9. A first pass counts them in bins of ``step`` of these, a second
+    With ``asks`` only the pairs whose first row it holds for count; ``key`` is unique. A null label equals none. Cosines are whole numbers of 1e-9. A first pass counts them in bins of ``step`` of these, a second
     one counts the single values of the bins that hold a wanted rank; both merge block counts, so nothing is sampled or sorted.
     The driver sees a count per bin, and ``step`` counts for each wanted rank. Work grows with the square of the rows.
     """
     spark, scale = df.sparkSession, 10**DECIMALS
-    rows = materialise(df.select(F.col(key).alias("key"), F.col(emb).cast("array<float>").alias("vec"), F.col(label).cast("double").alias("label")))
+    rows = materialise(df.select(F.col(key).alias("key"), F.col(emb).cast("array<float>").alias("vec"), F.col(label).cast("double").alias("label"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks")))
     n = max(1, -(-rows.count() // block))
     n_bins = 2 * scale // step + 1
     # each row meets every block in one cell; a cosine is the same both ways round, so unordered pairs are counted
+    times = 2 if asks is None else 1  # orders of a pair that one counted pair stands for
     own = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = own.select(F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "vec", "label")
-    width = max(1, min(n * (n + 1) // 2, 4 * partitions(spark)))
+    cells = own.select(F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), (F.col("own") == F.least("own", "o")).alias("first"), "key", "vec", "label")
+    n_cells = n * (n + 1) // 2
+    if asks is not None:  # the asking rows in blocks of their own: each meets all blocks once
+        asking = rows.filter("asks")
+        n_asking = max(1, -(-asking.count() // block))
+        n_cells = n_asking * n
+        at = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        cells = asking.select(at(n_asking).alias("lo"), every(n).alias("hi"), F.lit(True).alias("first"), "key", "vec", "label")
+        cells = cells.unionByName(rows.select(every(n_asking).alias("lo"), at(n).alias("hi"), F.lit(False).alias("first"), "key", "vec", "label"))
+    width = max(1, min(n_cells, 4 * partitions(spark)))
     cells = cells.repartition(width, "lo", "hi").groupBy("lo", "hi")
 
     def count(slots: np.ndarray | None, size: int):
@@ -120,16 +130,16 @@ def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str,
             x = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             what = t["label"].to_numpy()
-            first = t["own"].to_numpy() == t["lo"].to_numpy()
-            within = t["lo"][0].as_py() == t["hi"][0].as_py()
+            ids, first = t["key"].to_numpy(), t["first"].to_numpy()
+            within = times == 2 and t["lo"][0].as_py() == t["hi"][0].as_py()
             qi, mi = np.flatnonzero(first), np.arange(len(x)) if within else np.flatnonzero(~first)
             for s in range(0, len(qi), 256):
                 a = qi[s : s + 256]
                 b = mi[s:] if within else mi
                 unit = np.rint(np.round(x[a] @ x[b].T, DECIMALS) * scale).astype(np.int64) + scale
                 bins = unit // step + n_bins * (what[a][:, None] == what[b][None, :])
-                if within:
-                    keep = a[:, None] < b[None, :]
+                if within or times == 1:
+                    keep = a[:, None] < b[None, :] if within else ids[a][:, None] != ids[b][None, :]
                     unit, bins = unit[keep], bins[keep]
                 if slots is None:
                     acc += np.bincount(bins.ravel(), minlength=size)
@@ -147,12 +157,12 @@ def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str,
         return full
 
     coarse = count(None, 2 * n_bins).reshape(2, n_bins)
-    wanted = {}  # per class the ranks of either side of each quantile among the unordered pairs
+    wanted = {}  # per class the ranks of either side of each quantile among the pairs counted
     for k in range(2):
-        total = 2 * int(coarse[k].sum())
+        total = times * int(coarse[k].sum())
         if total:
             at = [q * (total - 1) for q in quantiles]
-            wanted[k] = (total, at, [(int(np.floor(p)) // 2, int(np.ceil(p)) // 2) for p in at])
+            wanted[k] = (total, at, [(int(np.floor(p)) // times, int(np.ceil(p)) // times) for p in at])
     ends = np.cumsum(coarse, axis=1)
     bin_of = lambda k, rank: int(np.searchsorted(ends[k], rank, side="right"))
     picked = sorted({k * n_bins + bin_of(k, r) for k, (_, _, ranks) in wanted.items() for pair in ranks for r in pair})

@@ -47,3 +47,21 @@ def test_percentiles_of_all_pairs_in_blocks(spark):
 def test_percentiles_count_every_vector(spark, data):
     whole, asked = ({r["same_topic"]: r["n"] for r in CORE.queries[k](spark, data).collect()} for k in ("similarity_percentiles_all", "similarity_percentiles"))
     assert sum(whole.values()) > sum(asked.values())
+
+
+def test_percentiles_of_asked_rows_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)).astype(np.float32)
+    label = [None if i % 9 == 0 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], t) for i, (v, t) in enumerate(zip(x, label))], "r bigint, e array<float>, t int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    same = np.array([[a is not None and a == b for b in label] for a in label])
+    counts = ~np.eye(90, dtype=bool) & (np.arange(90) % 2 == 0)[:, None]
+    qs = [0.0, 0.5, 0.9, 0.999, 1.0]
+    got = {r["same"]: r for r in X.pair_percentiles(df, key="r", emb="e", dim=4, label="t", quantiles=qs, block=20, asks=df["r"] % 2 == 0).collect()}
+    for k in (True, False):
+        own = s[counts & (same == k)]
+        assert got[k]["n"] == len(own)
+        assert np.allclose(got[k]["values"], np.quantile(own, qs), atol=1.1e-9)
+    assert X.pair_percentiles(df, key="r", emb="e", dim=4, label="t", quantiles=qs, asks=df["r"] < 0).count() == 0
