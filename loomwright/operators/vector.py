@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -15,7 +17,9 @@ from loomwright.functions.columns import cosine
 from loomwright.session import materialise, partitions
 
 #: Vectors of either side that one task multiplies.
-BLOCK = 4_096
+BLOCK = 16_384
+#: Copies of all members that are in the shuffle at a time, and the rows that are no matter for a turn of their own.
+COPIES, ROWS_A_TURN = 4, 500_000
 #: Decimals at which similarities are compared, so that thresholds and ties don't hang on the order of summation.
 DECIMALS = 9
 
@@ -33,11 +37,13 @@ def block_pairs(queries: DataFrame, members: DataFrame, *, key: str, emb: str, d
     With ``year``, a member counts if its year lies between the query's year - back and + ahead; rows without a year take no part.
     Ties go to the smaller key. The year is part of the block key: a query is sent to the years it looks at, and meets no others.
     Within a year both sides are hashed into blocks of about ``BLOCK`` rows, every pair of blocks is multiplied in one task, and
-    with ``k`` a block hands on only its own k best of each query, which are merged afterwards. Nothing is approximated.
+    with ``k`` a block hands on only its own k best of each query, which are merged afterwards. Nothing is approximated. Where the
+    rows for the blocks are more than ``COPIES`` of all members, the pairs of blocks take turns, whose shuffle files go before the next.
     """
     when = F.col(year).cast("int") if year else F.lit(0)
     pick = lambda d: materialise(d.select(F.col(key).cast("bigint").alias("key"), F.col(emb).cast("array<float>").alias("vec"), when.alias("year")).filter("year is not null"))
-    q, m = pick(queries), pick(members)
+    q = pick(queries)
+    m = q if queries is members else pick(members)
     # members by year, and queries by the year they look at: one row a year reaches the driver
     held = {r["year"]: r["count"] for r in m.groupBy("year").count().collect()}
     looks = F.filter(F.array(*[F.lit(y) for y in sorted(held)]), lambda y: (y >= F.col("year") - back) & (y <= F.col("year") + ahead)) if held else F.array().cast("array<int>")
@@ -75,7 +81,12 @@ def block_pairs(queries: DataFrame, members: DataFrame, *, key: str, emb: str, d
 
     cells = sum(-(-n // BLOCK) * -(-held[y] // BLOCK) for y, n in asked.items() if y in held)
     width = max(1, min(cells, 4 * partitions(m.sparkSession)))
-    found = both.repartition(width, "at", "qb", "mb").groupBy("at", "qb", "mb").applyInArrow(multiply, "q bigint, m bigint, sim double")
+    blocks = lambda n: -(-n // BLOCK)
+    sent = sum(n * blocks(held[y]) + held[y] * blocks(n) for y, n in asked.items() if y in held)
+    turns = max(1, min(-(-sent // ROWS_A_TURN), -(-sent // (COPIES * sum(held.values())))))
+    turn = F.pmod(F.xxhash64("at", "qb", "mb"), F.lit(turns))
+    search = lambda d: d.repartition(width, "at", "qb", "mb").groupBy("at", "qb", "mb").applyInArrow(multiply, "q bigint, m bigint, sim double")
+    found = search(both) if turns == 1 else reduce(DataFrame.unionByName, [materialise(search(both.filter(turn == t))) for t in range(turns)])
     return found if k is None else ranked(found, k).drop("rank")
 
 
@@ -97,7 +108,7 @@ def threshold_counts(pairs: DataFrame, thresholds: list[float], sides: dict[str,
     return spread.groupBy("q", "tau").agg(*[F.sum(n).alias(n) for n in sides])
 
 
-def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 2 * BLOCK, step: int = 20_000, asks: Column | None = None) -> DataFrame:
+def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 8_192, step: int = 20_000, asks: Column | None = None) -> DataFrame:
     """``same, n, values``: exact quantiles (interpolated) of the cosines of all ordered pairs of rows, apart for pairs of equal and of other ``label``.
 
     With ``asks`` only the pairs whose first row it holds for count; ``key`` is unique. A null label equals none. Cosines are whole numbers of 1e-9. A first pass counts them in bins of ``step`` of these, a second

@@ -65,3 +65,19 @@ def test_percentiles_of_asked_rows_in_blocks(spark):
         assert got[k]["n"] == len(own)
         assert np.allclose(got[k]["values"], np.quantile(own, qs), atol=1.1e-9)
     assert X.pair_percentiles(df, key="r", emb="e", dim=4, label="t", quantiles=qs, asks=df["r"] < 0).count() == 0
+
+
+def test_blocks_in_turns_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 20)
+    monkeypatch.setattr(X, "ROWS_A_TURN", 100)
+    monkeypatch.setattr(X, "COPIES", 2)
+    made = []
+    monkeypatch.setattr(X, "materialise", lambda d, f=X.materialise: made.append(d) or f(d))
+    x = np.random.default_rng(4).normal(size=(120, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 2000 + i % 3) for i, v in enumerate(x)], "r bigint, e array<float>, y int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    want = {(i, j) for i in range(120) for j in range(120) if i != j and s[i, j] >= 0.5 and 0 <= j % 3 - i % 3 <= 1}
+    got = [(r["q"], r["m"]) for r in X.block_pairs(df, df, key="r", emb="e", dim=4, least=0.5, year="y", ahead=1).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(made) > 3  # the vectors once, and every turn
