@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomwright.functions.columns import cosine
-from loomwright.session import materialise, partitions
+from loomwright.session import materialise, partitions, release
 
 #: Vectors of either side that one task multiplies.
 BLOCK = 16_384
 #: Copies of all members that are in the shuffle at a time, and the rows that are no matter for a turn of their own.
 COPIES, ROWS_A_TURN = 4, 500_000
+#: Vectors that are packed into a row for counting pairs, and the rows and columns of products counted at a time.
+PIECE, TILE = 2_048, (256, 1_024)
+#: Stands for all values below a stretch.
+BELOW = -(2**62)
 #: Decimals at which similarities are compared, so that thresholds and ties don't hang on the order of summation.
 DECIMALS = 9
 
@@ -108,89 +112,178 @@ def threshold_counts(pairs: DataFrame, thresholds: list[float], sides: dict[str,
     return spread.groupBy("q", "tau").agg(*[F.sum(n).alias(n) for n in sides])
 
 
-def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = 8_192, step: int = 20_000, asks: Column | None = None) -> DataFrame:
+def pair_percentiles(df: DataFrame, *, key: str, emb: str, dim: int, label: str, quantiles: list[float], block: int = BLOCK, step: int = 50_000, asks: Column | None = None) -> DataFrame:
     """``same, n, values``: exact quantiles (interpolated) of the cosines of all ordered pairs of rows, apart for pairs of equal and of other ``label``.
 
-    With ``asks`` only the pairs whose first row it holds for count; ``key`` is unique. A null label equals none. Cosines are whole numbers of 1e-9. A first pass counts them in bins of ``step`` of these, a second
-    one counts the single values of the bins that hold a wanted rank; both merge block counts, so nothing is sampled or sorted.
-    The driver sees a count per bin, and ``step`` counts for each wanted rank. Work grows with the square of the rows.
+    With ``asks`` only the pairs whose first row it holds for count; ``key`` is unique. A null label equals none. Cosines are whole numbers of 1e-9.
+    Every pair is multiplied twice in single precision, whose error has a bound. A first pass counts the products in bins of ``step`` units: the value of
+    a wanted rank is within the bound of its bin. A second pass counts the pairs certainly below that stretch, and those that may be in it by their
+    cosine in double precision. Both merge counts, so nothing is sampled or sorted. The driver sees a count per bin and the wanted values. The vectors go
+    to the pairs of blocks packed by the ``PIECE``, in turns of ``COPIES`` of all of them. Work grows with the square of the rows.
     """
     spark, scale = df.sparkSession, 10**DECIMALS
-    rows = materialise(df.select(F.col(key).alias("key"), F.col(emb).cast("array<float>").alias("vec"), F.col(label).cast("double").alias("label"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks")))
-    n = max(1, -(-rows.count() // block))
-    n_bins = 2 * scale // step + 1
-    # each row meets every block in one cell; a cosine is the same both ways round, so unordered pairs are counted
-    times = 2 if asks is None else 1  # orders of a pair that one counted pair stands for
-    own = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = own.select(F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), (F.col("own") == F.least("own", "o")).alias("first"), "key", "vec", "label")
-    n_cells = n * (n + 1) // 2
-    if asks is not None:  # the asking rows in blocks of their own: each meets all blocks once
-        asking = rows.filter("asks")
-        n_asking = max(1, -(-asking.count() // block))
-        n_cells = n_asking * n
-        at = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        cells = asking.select(at(n_asking).alias("lo"), every(n).alias("hi"), F.lit(True).alias("first"), "key", "vec", "label")
-        cells = cells.unionByName(rows.select(every(n_asking).alias("lo"), at(n).alias("hi"), F.lit(False).alias("first"), "key", "vec", "label"))
-    width = max(1, min(n_cells, 4 * partitions(spark)))
-    cells = cells.repartition(width, "lo", "hi").groupBy("lo", "hi")
-
-    def count(slots: np.ndarray | None, size: int):
-        def run(t: pa.Table) -> pa.Table:
-            acc = np.zeros(size, np.int64)
-            x = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            what = t["label"].to_numpy()
-            ids, first = t["key"].to_numpy(), t["first"].to_numpy()
-            within = times == 2 and t["lo"][0].as_py() == t["hi"][0].as_py()
-            qi, mi = np.flatnonzero(first), np.arange(len(x)) if within else np.flatnonzero(~first)
-            for s in range(0, len(qi), 256):
-                a = qi[s : s + 256]
-                b = mi[s:] if within else mi
-                unit = np.rint(np.round(x[a] @ x[b].T, DECIMALS) * scale).astype(np.int64) + scale
-                bins = unit // step + n_bins * (what[a][:, None] == what[b][None, :])
-                if within or times == 1:
-                    keep = a[:, None] < b[None, :] if within else ids[a][:, None] != ids[b][None, :]
-                    unit, bins = unit[keep], bins[keep]
-                if slots is None:
-                    acc += np.bincount(bins.ravel(), minlength=size)
-                else:
-                    slot = slots[bins]
-                    hit = slot >= 0
-                    at, c = np.unique(slot[hit] * step + unit[hit] % step, return_counts=True)
-                    acc[at] += c
-            at = np.flatnonzero(acc)
-            return pa.table({"at": pa.array(at, pa.int64()), "c": pa.array(acc[at], pa.int64())})
-
-        found = cells.applyInArrow(run, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
-        full = np.zeros(size, np.int64)
-        full[found["at"].to_numpy()] = found["c"].to_numpy()
-        return full
-
-    coarse = count(None, 2 * n_bins).reshape(2, n_bins)
-    wanted = {}  # per class the ranks of either side of each quantile among the pairs counted
-    for k in range(2):
-        total = times * int(coarse[k].sum())
-        if total:
-            at = [q * (total - 1) for q in quantiles]
-            wanted[k] = (total, at, [(int(np.floor(p)) // times, int(np.ceil(p)) // times) for p in at])
-    ends = np.cumsum(coarse, axis=1)
-    bin_of = lambda k, rank: int(np.searchsorted(ends[k], rank, side="right"))
-    picked = sorted({k * n_bins + bin_of(k, r) for k, (_, _, ranks) in wanted.items() for pair in ranks for r in pair})
-    slots = np.full(2 * n_bins, -1, np.int64)
-    slots[picked] = np.arange(len(picked))
-    fine = np.cumsum(count(slots, len(picked) * step).reshape(-1, step), axis=1) if picked else None
-
-    def value(k: int, rank: int) -> float:
-        b = bin_of(k, rank)
-        inside = rank - (int(ends[k][b - 1]) if b else 0)
-        return (b * step + int(np.searchsorted(fine[slots[k * n_bins + b]], inside, side="right")) - scale) / scale
-
+    top = scale // step  # products are shifted and scaled to 0 .. 2 * top, a bin being 1
+    slack = top * ((dim + 16) * 2.0**-24 + 1.0 / scale)  # rounding of both vectors, of the scaled one, of every sum and of the shift
+    aside = 2 * top + 4 + int(np.ceil(4 * slack))  # where what is no pair goes
+    times = 2 if asks is None else 1  # a cosine is the same both ways round: orders of a pair that one counted pair stands for
+    picked = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    rows = materialise(df.select(F.col(key).alias("key"), F.col(emb).cast("array<float>").alias("vec"), F.col(label).cast("double").alias("label"), picked.alias("asks")))
+    held, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
+    n, n_asked = (max(1, -(-c // block)) for c in (held, asked))
+
+    def pack(t: pa.Table) -> pa.Table:
+        what = t["label"].to_numpy()
+        order = np.argsort(what, kind="stable")
+        x = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, dim)
+        cuts = [order[s : s + PIECE] for s in range(0, len(order), PIECE)]
+        packed = {c: pa.array([a[i].tobytes() for i in cuts], pa.binary()) for c, a in (("ids", t["key"].to_numpy()), ("labels", what), ("vecs", x))}
+        return pa.table({"own": pa.array([t["own"][0].as_py()] * len(cuts), pa.int32()), "piece": pa.array(range(len(cuts)), pa.int32()), **packed})
+
+    def packed(d: DataFrame, blocks: int) -> DataFrame:
+        own = d.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("own"), F.col("key").cast("bigint").alias("key"), "vec", "label")
+        width = max(1, min(blocks, 4 * partitions(spark)))
+        return materialise(own.repartition(width, "own").groupBy("own").applyInArrow(pack, "own int, piece int, ids binary, labels binary, vecs binary"))
+
+    whole = packed(rows, n)
+    asking = None if asks is None else packed(rows.filter("asks"), n_asked)  # in blocks of their own: each meets all blocks once
+    release(rows)
+    sent = n * held if asks is None else n * asked + n_asked * held
+    turns = max(1, min(-(-sent // ROWS_A_TURN), -(-sent // max(1, COPIES * held))))
+    # wide, so that few pairs of blocks share a task
+    width = max(1, min(-(-4 * (n * (n + 1) // 2 if asks is None else n_asked * n) // turns), 8 * partitions(spark)))
+
+    def cells(turn: int) -> DataFrame:
+        def meet(d: DataFrame, others: int, cell, first) -> DataFrame:
+            now = F.filter(F.sequence(F.lit(0), F.lit(others - 1)), lambda o: F.pmod(F.xxhash64(*cell(o)), F.lit(turns)) == turn)
+            lo, hi = cell(F.col("o"))
+            return d.withColumn("o", F.explode(now)).select(lo.alias("lo"), hi.alias("hi"), first.alias("first"), "piece", "ids", "labels", "vecs")
+
+        own = F.col("own")
+        if asks is None:
+            return meet(whole, n, lambda o: (F.least(own, o), F.greatest(own, o)), own <= F.col("o"))
+        return meet(asking, n, lambda o: (own, o), F.lit(True)).unionByName(meet(whole, n_asked, lambda o: (o, own), F.lit(False)))
+
+    def side(pieces: list[dict]) -> dict[str, np.ndarray]:
+        read = lambda c, kind: np.frombuffer(b"".join(p[c] for p in sorted(pieces, key=lambda p: p["piece"])), kind)
+        x = read("vecs", np.float32).reshape(-1, dim)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+        return {"x": x, "norm": norm, "unit": (x / norm[:, None]).astype(np.float32), "ids": read("ids", np.int64), "label": read("labels", np.float64)}
+
+    def tiles(t: pa.Table):
+        """The rows of either side, their shifted products, and the places in these where both have the same label."""
+        pieces = t.to_pylist()
+        within = times == 2 and pieces[0]["lo"] == pieces[0]["hi"]
+        q = side([p for p in pieces if p["first"]])
+        m = q if within else side([p for p in pieces if not p["first"]])
+        kept = np.empty(TILE[0] * TILE[1], np.float32)
+        for r in range(0, len(q["x"]), TILE[0]):
+            a = {c: v[r : r + TILE[0]] for c, v in q.items()}
+            scaled = a["unit"] * np.float32(top)
+            for s in range(r // TILE[1] * TILE[1] if within else 0, len(m["x"]), TILE[1]):
+                b = {c: v[s : s + TILE[1]] for c, v in m.items()}
+                at = kept[: len(a["x"]) * len(b["x"])].reshape(len(a["x"]), -1)
+                np.matmul(scaled, b["unit"].T, out=at)
+                at += np.float32(top)
+                if within and s < r + len(a["x"]):
+                    at[np.arange(s, s + at.shape[1]) <= np.arange(r, r + at.shape[0])[:, None]] = aside
+                elif times == 1:
+                    at[a["ids"][:, None] == b["ids"]] = aside
+                begin, end = (np.searchsorted(b["label"], a["label"], how) for how in ("left", "right"))
+                many = np.where(np.isnan(a["label"]), 0, end - begin)
+                same = np.repeat(np.arange(len(many)) * at.shape[1] + begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                yield a, b, at, same
+
+    def coarse(t: pa.Table) -> pa.Table:
+        acc, kept = np.zeros((2, aside + 1), np.int64), np.empty(TILE[0] * TILE[1], np.intp)
+        for _, _, at, same in tiles(t):
+            bins = kept[: at.size]
+            np.copyto(bins, at.ravel(), casting="unsafe")
+            alike = np.bincount(bins[same], minlength=aside + 1)
+            acc[0] += np.bincount(bins, minlength=aside + 1) - alike
+            acc[1] += alike
+        acc[:, aside] = 0
+        k, at = np.nonzero(acc)
+        return pa.table({"k": pa.array(k, pa.int32()), "at": pa.array(at, pa.int64()), "c": pa.array(acc[k, at])})
+
+    def counted(work, names: tuple[str, str]) -> DataFrame:
+        """Counts by two names over the cells of all turns; what a turn shuffled goes before the next."""
+        schema = f"{names[0]} int, {names[1]} bigint, c bigint"
+        add = lambda d: d.groupBy(*names).agg(F.sum("c").alias("c"))
+        parts = [materialise(add(cells(i).repartition(width, "lo", "hi").groupBy("lo", "hi").applyInArrow(work, schema))) for i in range(turns)]
+        return parts[0] if turns == 1 else add(reduce(DataFrame.unionByName, parts))
+
+    found = counted(coarse, ("k", "at")).toArrow()
+    bins = np.zeros((2, aside), np.int64)
+    bins[found["k"].to_numpy(), found["at"].to_numpy()] = found["c"].to_numpy()
+    ends = np.cumsum(bins, axis=1)
+    total = times * ends[:, -1]
+    places = {k: [q * (int(total[k]) - 1) for q in quantiles] for k in range(2) if total[k]}
+    ranks = sorted({(k, int(end(p)) // times) for k, ps in places.items() for p in ps for end in (np.floor, np.ceil)})  # among the pairs counted
+    stretches: list[list] = []  # class, from, to; apart from each other
+    inside = {}
+    for k, rank in ranks:
+        b = int(np.searchsorted(ends[k], rank, side="right"))
+        if stretches and stretches[-1][0] == k and b - 2 * slack <= stretches[-1][2]:
+            stretches[-1][2] = b + 1 + 2 * slack
+        else:
+            stretches.append([k, b - 2 * slack if b else -1.0 - 2 * slack, b + 1 + 2 * slack])
+        inside[k, rank] = len(stretches) - 1
+
+    least = np.array([int((lo - slack) * step) - 2 for _, lo, _ in stretches], np.int64)  # in units
+    first = np.cumsum([0, *[int((hi + slack) * step) + 2 - u for u, (_, _, hi) in zip(least, stretches)]])  # places of a stretch's units
+    own = [[(w, np.float32(lo), np.float32(hi)) for w, (c, lo, hi) in enumerate(stretches) if c == k] for k in range(2)]
+
+    def fine(t: pa.Table) -> pa.Table:
+        acc, below = np.zeros(first[-1], np.int64), np.zeros(len(stretches), np.int64)
+        flags, room = (np.zeros(-(-TILE[0] * TILE[1] // 8) * 8, bool) for _ in range(2))
+        for a, b, at, same in tiles(t):
+            flat = at.ravel()
+            alike = flat[same]
+            flags[:] = False
+            marked, under = flags[: flat.size], room[: flat.size]
+            for w, lo, hi in own[0]:
+                np.less(flat, lo, out=under)
+                below[w] += np.count_nonzero(under) - np.count_nonzero(alike < lo)
+                marked ^= under
+                marked ^= np.less(flat, hi, out=under)
+            words = np.flatnonzero(flags.view(np.int64))  # few are marked
+            word, byte = np.nonzero(flags.reshape(-1, 8)[words])
+            hits = [words[word] * 8 + byte]
+            i, j = np.divmod(hits[0], at.shape[1])
+            hits[0] = hits[0][a["label"][i] != b["label"][j]]
+            stretch = [np.array([w for w, _, _ in own[0]], np.int64)[np.searchsorted([lo for _, lo, _ in own[0]], flat[hits[0]], side="right") - 1]]
+            for w, lo, hi in own[1]:
+                under = alike < lo
+                below[w] += np.count_nonzero(under)
+                hits.append(same[under ^ (alike < hi)])
+                stretch.append(np.full(len(hits[-1]), w))
+            stretch = np.concatenate(stretch)
+            i, j = np.divmod(np.concatenate(hits), at.shape[1])
+            if len(i) > at.size // 32:
+                dots = (a["x"].astype(np.float64) @ b["x"].T.astype(np.float64))[i, j]
+            else:
+                dots = np.einsum("ij,ij->i", a["x"][i], b["x"][j], dtype=np.float64)
+            unit = np.rint(np.round(dots / (a["norm"][i] * b["norm"][j]), DECIMALS) * scale).astype(np.int64) + scale
+            np.add.at(acc, first[stretch] + unit - least[stretch], 1)
+        at = np.flatnonzero(acc)
+        stretch = np.searchsorted(first, at, side="right") - 1
+        return pa.table({
+            "w": pa.array(np.concatenate([np.arange(len(below)), stretch]), pa.int32()),
+            "unit": pa.array(np.concatenate([np.full(len(below), BELOW), at - first[stretch] + least[stretch]]), pa.int64()),
+            "c": pa.array(np.concatenate([below, acc[at]]), pa.int64()),
+        })
+
+    value = {}
+    if ranks:
+        upto = F.sum("c").over(W.partitionBy("w").orderBy("unit").rowsBetween(W.unboundedPreceding, 0))
+        wanted = [F.min(F.when((F.col("w") == inside[r]) & (F.col("upto") > r[1]), F.col("unit"))) for r in ranks]
+        units = counted(fine, ("w", "unit")).withColumn("upto", upto).agg(*wanted).first()
+        value = {r: (u - scale) / scale for r, u in zip(ranks, units)}
     out = []
-    for k, (total, at, ranks) in wanted.items():
-        low_high = [(value(k, lo), value(k, hi)) for lo, hi in ranks]
-        out.append((bool(k), total, [lo + (p - np.floor(p)) * (hi - lo) for p, (lo, hi) in zip(at, low_high)]))
-    return spark.createDataFrame([(s, t, [float(v) for v in vs]) for s, t, vs in out], "same boolean, n bigint, values array<double>")
+    for k, ps in places.items():
+        low_high = [(value[k, int(np.floor(p)) // times], value[k, int(np.ceil(p)) // times]) for p in ps]
+        out.append((bool(k), int(total[k]), [float(lo + (p - np.floor(p)) * (hi - lo)) for p, (lo, hi) in zip(ps, low_high)]))
+    return spark.createDataFrame(out, "same boolean, n bigint, values array<double>")
 
 
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, *, key: str, emb: str, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ Searches ask for every vector whose row number is divisible by 50, against all v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators import graph as G
@@ -134,20 +134,20 @@ def q_pair_cosine(spark: SparkSession, d: str) -> DataFrame:
 QS = [0.5, 0.9, 0.95, 0.99, 0.999]
 
 
-@query("similarity_percentiles", PAIRS_SQL + " SELECT coalesce(tq = tm, false) AS same_topic, count(*) AS n, " + ", ".join(f"round(quantile_cont(sim, {q}), 6) AS p{str(q)[2:]}" for q in QS) + " FROM pr GROUP BY 1")
+@query("similarity_percentiles", ALL_PAIRS_SQL + " SELECT coalesce(tq = tm, false) AS same_topic, count(*) AS n, " + ", ".join(f"round(quantile_cont(sim, {q}), 6) AS p{str(q)[2:]}" for q in QS) + " FROM pr GROUP BY 1")
 def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of all similarities of the asked vectors, within and across topics."""
-    return _percentiles(_dated(spark, d), F.col("r") % ASK == 0)
+    """Exact percentiles of the similarities of all vectors with all others, within and across topics."""
+    return _percentiles(_dated(spark, d))
 
 
-def _percentiles(v: DataFrame, asks: Column | None = None) -> DataFrame:
-    found = X.pair_percentiles(v, emb="e", dim=DIM, key="r", label="topic", quantiles=QS, asks=asks)
+def _percentiles(v: DataFrame) -> DataFrame:
+    found = X.pair_percentiles(v, emb="e", dim=DIM, key="r", label="topic", quantiles=QS)
     return found.select(F.col("same").alias("same_topic"), "n", *[r6(F.col("values")[i]).alias(f"p{str(q)[2:]}") for i, q in enumerate(QS)])
 
 
 @query("similarity_percentiles_all", ALL_PAIRS_SQL + " SELECT coalesce(tq = tm, false) AS same_topic, count(*) AS n, " + ", ".join(f"round(quantile_cont(sim, {q}), 6) AS p{str(q)[2:]}" for q in QS) + " FROM pr GROUP BY 1")
 def q_percentiles_all(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles of the similarities of all vectors with all others, within and across topics."""
+    """The same under its earlier name."""
     return _percentiles(_dated(spark, d))
 
 
